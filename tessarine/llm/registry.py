@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
+from .licenses import op9_licenses
+from .linededup import op1_line_dedup
+from .quality import op3_quality
 from .simhash import op7_simhash
+from .toxicity import op4_toxicity
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_simhash": op7_simhash,
+    "op9_licenses": op9_licenses,
+}
 ORACLES: dict[str, str] = {}
