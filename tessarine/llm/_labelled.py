@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._io import arrow_limits
 
@@ -43,7 +44,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], name: str,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at)), pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def accepted(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], least: float, text: str = "text") -> DataFrame:
