@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-A line's words are masked first (numbers, hex strings, addresses and the like become <*>). The tree has a fixed
+A line's words are masked first (words with a digit, and addresses, become <*>). The tree has a fixed
 depth: the number of words, then the first `depth` words; a leaf holds the lines that agree on these. Within a leaf a
 word stays part of the template where the same word stands at the same place in at least `min_docs` lines of
 different documents, and becomes a variable field otherwise. A line follows its template if at least `share` of the
@@ -30,15 +30,16 @@ from pyspark.sql import functions as F
 
 from ._io import arrow_limits, cut, table
 
-#: words with a digit, addresses, and hexadecimal strings are variable fields from the start
-_FIELD = re.compile(r"\d|://|@|^[0-9a-f]{8,}$")
+#: words with a digit and addresses are variable fields from the start
+_FIELD = re.compile(r"[0-9@]|://")
+_HINT = re.compile(r"[0-9@:]")
 
 
 def masked(line: str) -> list[str]:
     words = line.lower().split()
-    if _FIELD.search(line) or "@" in line or "://" in line:
+    if _HINT.search(line):
         return ["<*>" if _FIELD.search(w) else w for w in words]
-    return [w if len(w) < 8 or not _FIELD.search(w) else "<*>" for w in words]
+    return words
 
 
 def leaf_of(words: list[str], depth: int) -> int:
