@@ -72,7 +72,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (count + PADDING) + self.offset, -40, 40)))
 
 
-def fit(texts: list[str], y: np.ndarray, bits: int = 17, dim: int = 8, epochs: int = 6, rate: float = 1.0, seed: int = 7) -> Model:
+def fit(texts: list[str], y: np.ndarray, bits: int = 17, dim: int = 8, epochs: int = 6, least_steps: int = 12_000, rate: float = 1.0, seed: int = 7) -> Model:
+    """epochs passes over the texts, and more where these are few, up to least_steps."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.float32), 0.0, bits)
     rng = np.random.default_rng(seed)
@@ -86,6 +87,7 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 17, dim: int = 8, epochs: i
         bags.append((ids, (count[ids] / (count.sum() + PADDING)).astype(np.float32)))
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     layer, offset = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-least_steps // len(bags)))
     done, steps = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):

@@ -96,7 +96,7 @@ def swaps(text: str, identity: tuple[tuple[str, ...], ...] = IDENTITY, each: int
     return out
 
 
-def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, epochs: int = 300, rate: float = 0.5, least: int = 3, max_pairs: int = 20_000) -> Model:
+def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, epochs: int = 800, rate: float = 0.5, least: int = 3, max_pairs: int = 20_000) -> Model:
     """penalty: weight of the squared logit change over swaps; least: texts a feature must be in."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, _U), np.zeros(0), 0.0)
