@@ -65,11 +65,10 @@ def _post(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, nearest: int) -
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
-            perm = np.sort(describe(_matrix(part.column(2)), pivots, nearest), axis=1)
-            for i in range(perm.shape[1]):
-                for j in range(i + 1, perm.shape[1]):
-                    key = perm[:, i].astype(np.int64) * n + perm[:, j]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], ["k", *part.schema.names])
+            perm = np.sort(describe(_matrix(part.column(1)), pivots, nearest), axis=1).astype(np.int64)
+            i, j = np.triu_indices(perm.shape[1], 1)
+            key = perm[:, i] * n + perm[:, j]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column(0).take(pa.array(np.repeat(np.arange(len(perm)), len(i))))], ["k", "vid"])
 
 
 def unit_links(own: np.ndarray, other: np.ndarray | None, key: int, pivots: np.ndarray, nearest: int, shared: int, least: float):
@@ -170,14 +169,16 @@ def _links(heads: DataFrame, n: int, least: float, nearest: int, shared: int, bl
         return heads.select(F.col("vid").alias("a"), F.col("vid").alias("b"), F.lit(0).cast("bigint").alias("n")).limit(0)
     shared = min(shared, nearest)
     sent = heads.sparkSession.sparkContext.broadcast(pivots)
-    kind = heads.schema["vec"].dataType.simpleString()
-    posted = heads.select("vid", "copies", "vec").mapInArrow(lambda it: _post(it, sent.value, nearest), f"k bigint, vid bigint, copies bigint, vec {kind}")
+    posted = heads.select("vid", "vec").mapInArrow(lambda it: _post(it, sent.value, nearest), "k bigint, vid bigint")
+    posted = cut(posted, "postings")
     sizes = posted.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
     sizes = cut(sizes.select("k", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "sizes")
-    posted = posted.join(sizes, "k")
+    # a vector's lists, as many as pairs of its nearest pivots; the vector itself travels once to them and once to its units
+    lists = posted.join(sizes, "k").groupBy("vid").agg(F.collect_list(F.struct("k", "blocks")).alias("lists"))
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("left"), F.greatest(o, own).alias("right"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
-    units = posted.select("k", F.explode(pair).alias("u"), "vid", "copies", "vec").select("k", "u.left", "u.right", "u.side", "vid", "copies", "vec")
+    units = heads.select("vid", "copies", "vec").join(lists, "vid").select("vid", "copies", "vec", F.explode("lists").alias("l")).select("l.k", "l.blocks", "vid", "copies", "vec")
+    units = units.select("k", F.explode(pair).alias("u"), "vid", "copies", "vec").select("k", "u.left", "u.right", "u.side", "vid", "copies", "vec")
     units = units.repartition("k", "left", "right").sortWithinPartitions("k", "left", "right")
     return units.mapInArrow(lambda it: _compare(it, sent.value, nearest, shared, least), "a bigint, b bigint, n bigint")
 
