@@ -83,7 +83,11 @@ FATAL = ("unsupported or missing image file", "openslideunsupportedformaterror")
 
 
 def tells_failure(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in FAILURES)), F.lit(False))
+    """Any of the wordings, whatever the case. Each starts with plain words; only texts that hold some of these meet the expressions."""
+    low, hint = F.lower(text), F.lit(False)
+    for pattern in FAILURES:
+        hint = hint | low.contains(pattern.partition("(")[0])
+    return F.coalesce(hint & text.rlike("(?i)" + "|".join(f"(?:{p})" for p in FAILURES)), F.lit(False))
 
 
 def is_fatal(text: Column) -> Column:

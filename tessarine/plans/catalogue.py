@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown, numbers, resolution, strings
 from ..operators import geometry as G
-from ..operators import ledger, raster, scoring, spatial, traces
+from ..operators import ledger, raster, scoring, spatial, tools, traces
 from ..operators import vectors as V
 from ..sources import files
 from ..streaming import feeds
 from . import views
-from .views import SIDE, SLIDE, VIEW, load
+from .views import SIDE, SLIDE, VIEW, load, load_wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -495,7 +495,7 @@ def redact_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'tile' ELSE substr(s, 1, 64) END AS name FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s', '_', 'g'), '[^\p{L}\p{N}_-]', '', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)""")
 def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", strings.safe_filename(F.col("text")).alias("name"))
+    return load_wide(spark, sf_dir, "documents").select("doc_id", strings.safe_filename(F.col("text")).alias("name"))
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '(\.[^./\\]*)$', 1)) AS ext, CASE WHEN starts_with(url, 'https://') THEN '/debug/' || replace(substr(url, 9), '\', '/') END AS shown, NOT starts_with(url, '/') AND NOT list_contains(string_split(url, '/'), '..') AS safe FROM pages")
@@ -524,7 +524,7 @@ SELECT doc_id, regexp_matches(t, '(?i){PATTERNS}') AS failed, contains(lower(t),
 def failure_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, text = F.col("doc_id") % 4, F.col("text")
     t = F.when(n == 0, F.concat(text, F.lit(" Unable to open it"))).when(n == 1, F.concat(text, F.lit(" UNSUPPORTED or missing image file"))).when(n == 2, F.concat(F.lit("Error reading the slide. "), text)).otherwise(text)
-    d = load(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    d = load_wide(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", strings.tells_failure(F.col("t")).alias("failed"), strings.is_fatal(F.col("t")).alias("fatal"), strings.effective_status(F.lit("done"), F.col("t")).alias("status"))
 
 
@@ -532,13 +532,13 @@ def failure_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold over lines that SQL can't express; tests hold it against a plain loop."""
     body = F.concat(F.lit("# Title *a*\n\n- "), F.replace("text", F.lit("\n"), F.lit("\n- ")), F.lit("\n\n```py\nx < 1\n```\n1. one\n> said"))
-    return load(spark, sf_dir, "documents").select("doc_id", markdown.markdown_html(body).alias("html"))
+    return load_wide(spark, sf_dir, "documents").select("doc_id", markdown.markdown_html(body).alias("html"))
 
 
 @query("""SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS section FROM documents""")
 def report_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit("## Prompt\nask\n## Final Report\n"), "text", F.lit("\n## Navigation Steps\n1. a"))
-    return load(spark, sf_dir, "documents").select("doc_id", markdown.report_section(body).alias("section"))
+    return load_wide(spark, sf_dir, "documents").select("doc_id", markdown.report_section(body).alias("section"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, lower(printf('%02d', l_linenumber)) AS tag, (greatest(l_linenumber - 1, 0)) % 12 AS slot, round(10 + (20 - 10) * l_discount, 6) AS between FROM lineitem""")
@@ -630,3 +630,73 @@ def copy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     f = load(spark, sf_dir, "pages").select(k.alias("seq"), (k % 4).alias("run_id"), F.concat(F.lit("d"), (k % 9).cast("string"), F.lit("/v"), (k % 6).cast("string"), F.lit(".jpg")).alias("path"))
     return files.copy_names(f, ["run_id"])
+
+
+# -- tools and feeds ---------------------------------------------------------------------------------------------------
+
+
+def exploration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests, views, slides) of one run per customer: views and requests alternate, from orders."""
+    o = load(spark, sf_dir, "orders").selectExpr("o_custkey AS run_id", "o_orderkey AS k")
+    boxes = ("k * 7 % 20000 AS x", "k * 13 % 15000 AS y", "500 + k * 31 % 9000 AS w", "500 + k * 97 % 7000 AS h")
+    views_ = o.where("k % 2 = 0").selectExpr("run_id", "k AS view_seq", *boxes)
+    requests = o.where("k % 2 = 1").selectExpr("run_id", "k AS seq", "k * 3 % 1000 AS n0", "k * 5 % 1000 AS n1", "k * 11 % 1000 AS n2", "k * 17 % 1000 AS n3", "k * 3 % 1500 - 700 AS dx", "k * 5 % 1500 - 700 AS dy", "CASE k % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' ELSE 'odd' END AS quality")
+    slides = o.select("run_id").distinct().selectExpr("run_id", "40000 AS base_w", "30000 AS base_h", "0.25D AS mpp", "40.0D AS objective", "array(1D, 2D, 4D, 16D) AS downsamples")
+    return requests, views_, slides
+
+
+SESSION = """o AS (SELECT o_custkey AS run_id, o_orderkey AS k FROM orders),
+vw AS (SELECT run_id, k AS view_seq, k * 7 % 20000 AS x, k * 13 % 15000 AS y, 500 + k * 31 % 9000 AS w, 500 + k * 97 % 7000 AS h FROM o WHERE k % 2 = 0),
+rq AS (SELECT r.run_id, r.k AS seq, max(v.view_seq) AS view_seq FROM o r LEFT JOIN vw v ON v.run_id = r.run_id AND v.view_seq < r.k WHERE r.k % 2 = 1 GROUP BY 1, 2),
+cur AS (SELECT rq.run_id, seq, view_seq, x, y, w, h FROM rq JOIN vw USING (run_id, view_seq))"""
+
+
+@query(f"""WITH {SESSION} SELECT run_id, seq AS view_seq, greatest(least(x + {RE.format("greatest(least(seq * 3 % 1500 - 700, 999), -999) / 999.0 * w")}, 40000 - w), 0) AS x,
+  greatest(least(y + {RE.format("greatest(least(seq * 5 % 1500 - 700, 999), -999) / 999.0 * h")}, 30000 - h), 0) AS y, w, h FROM cur""")
+def tool_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.pan(*exploration(spark, sf_dir))
+
+
+@query(f"""WITH {SESSION}, t AS (SELECT rq.run_id, seq, rq.view_seq, x, y, w, h, CASE seq % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' ELSE 'odd' END AS quality,
+  (seq * 3 % 1000 + seq * 11 % 1000) / 2.0 AS px, (seq * 5 % 1000 + seq * 17 % 1000) / 2.0 AS py FROM rq LEFT JOIN vw USING (run_id, view_seq)),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id, quality ORDER BY seq) AS i FROM t WHERE quality <> 'odd' AND view_seq IS NOT NULL)
+SELECT run_id, seq, quality, true AS ok, i AS tile_idx, NULL AS reason, greatest(least(x + {RE.format("px / 999.0 * w")} - 512, 40000 - 1024), 0) AS bx, greatest(least(y + {RE.format("py / 999.0 * h")} - 512, 30000 - 1024), 0) AS by FROM n
+UNION ALL SELECT run_id, seq, quality, false, NULL, CASE WHEN view_seq IS NULL THEN 'no_current_view' ELSE 'invalid_quality' END, NULL, NULL FROM t WHERE quality = 'odd' OR view_seq IS NULL""")
+def tool_save_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.save_tile(*exploration(spark, sf_dir)).select("run_id", "seq", "quality", "ok", "tile_idx", "reason", F.col("bbox.x").alias("bx"), F.col("bbox.y").alias("by"))
+
+
+@query(f"""WITH {SESSION}, c AS (SELECT run_id, view_seq, k AS rank, view_seq * 10 + k AS id, (view_seq * 83 + k * 331) % 1000 AS nx, (view_seq * 131 + k * 577) % 1000 AS ny FROM vw, unnest(range(1, 4)) t(k) WHERE view_seq % 5 <> 0),
+p AS (SELECT rq.run_id, seq, view_seq, (seq * 3 % 1000 + seq * 11 % 1000) / 2.0 AS px, (seq * 5 % 1000 + seq * 17 % 1000) / 2.0 AS py FROM rq),
+d AS (SELECT p.*, c.rank, c.nx, c.ny, sqrt((px - nx) ** 2 + (py - ny) ** 2) AS dist FROM p LEFT JOIN c USING (run_id, view_seq)), b AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY dist, rank) AS i FROM d)
+SELECT b.run_id, seq, coalesce(dist <= 170, false) AS ok, CASE WHEN b.view_seq IS NULL THEN 'no_current_view' WHEN dist IS NULL THEN 'no_roi_candidates' WHEN dist > 170 THEN 'roi_outside_topk_candidates' END AS reason,
+  CASE WHEN dist <= 170 THEN b.rank END AS candidate_rank, CASE WHEN dist <= 170 THEN greatest(least(x + {RE.format("nx / 999.0 * w")} - 750, 40000 - 1500), 0) END AS bx FROM b LEFT JOIN vw USING (run_id, view_seq) WHERE i = 1""")
+def tool_mark_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, views_, slides = exploration(spark, sf_dir)
+    found = views_.where("view_seq % 5 <> 0").select("run_id", "view_seq", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 2, 3)])).alias("rank"))
+    found = found.selectExpr("run_id", "view_seq", "rank", "view_seq * 10 + rank AS id", "(view_seq * 83 + rank * 331) % 1000 AS nx", "(view_seq * 131 + rank * 577) % 1000 AS ny", "1.0D / rank AS score")
+    return tools.mark_roi(requests, views_, slides, found).select("run_id", "seq", "ok", "reason", "candidate_rank", F.col("bbox.x").alias("bx"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 8 NOT IN (5, 7) WHEN 1 THEN true WHEN 2 THEN o_orderkey % 8 <> 7 ELSE false END AS ok FROM orders""")
+def tool_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda names, k: F.get(F.array(*[F.lit(n) for n in names]), k.cast("int"))
+    k = F.col("o_orderkey")
+    o = load(spark, sf_dir, "orders").select("o_orderkey", pick(("tile", "wsi", "aml", "nobody"), k % 4).alias("agent"), pick(tools.TOOLS, k % 8).alias("tool"))
+    return tools.access(o).select("o_orderkey", "ok")
+
+
+@query("SELECT user_id AS run_id, event_id + 1 AS step_index, event_type AS payload, false AS reset FROM events")
+def stream_fresh_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step once, by a stateful stream over the files of events (a glob, as a stream's path is a folder or a glob), written by a Parquet sink and read again."""
+    source = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    steps = source.select(F.col("user_id").alias("run_id"), (F.col("event_id") + 1).alias("step_index"), F.col("event_type").alias("payload"))
+    return feeds.drained(feeds.fresh_steps(steps), "steps")
+
+
+@query("""SELECT window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, * FROM events) GROUP BY 1, 2""")
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by a windowed stream with a watermark; an extension, as the feeds themselves have no event time."""
+    source = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    out = feeds.drained(feeds.windowed(source, "ts", "event_type", "value"), "hours")
+    return out.select("window_start", "event_type", "n", F.round("total", 6).alias("total"))

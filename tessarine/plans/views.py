@@ -16,6 +16,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_wide(spark: SparkSession, sf_dir: str, name: str, megabytes: int = 8) -> DataFrame:
+    """The same for work that is heavy for each row: a table too small to fill all cores as it lies is dealt out anew."""
+    df, cores = load(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (megabytes << 20) else df
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, vec): unit rows."""
     return unit_rows(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ledger import TRANSITIONS
+from ..sources.scratch import shared_folder
 
 
 def append_only(spark: SparkSession, folder: str, schema: str, form: str = "json", files: int = 64) -> DataFrame:
@@ -33,7 +35,8 @@ def fresh_steps(steps: DataFrame) -> DataFrame:
         state.update((mark,))
         yield pd.DataFrame({"run_id": new["run_id"], "step_index": new["step_index"], "payload": new["payload"], "reset": reset})
 
-    return steps.groupBy("run_id").applyInPandasWithState(run, "run_id string, step_index bigint, payload string, reset boolean", "mark bigint", "append", GroupStateTimeout.NoTimeout)
+    kind = steps.schema["run_id"].dataType.simpleString()
+    return steps.groupBy("run_id").applyInPandasWithState(run, f"run_id {kind}, step_index bigint, payload string, reset boolean", "mark bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_states(events: DataFrame) -> DataFrame:
@@ -51,7 +54,8 @@ def run_states(events: DataFrame) -> DataFrame:
         state.update((status,))
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "refused": [refused]})
 
-    return events.groupBy("run_id").applyInPandasWithState(run, "run_id string, status string, refused bigint", "status string", "update", GroupStateTimeout.NoTimeout)
+    kind = events.schema["run_id"].dataType.simpleString()
+    return events.groupBy("run_id").applyInPandasWithState(run, f"run_id {kind}, status string, refused bigint", "status string", "update", GroupStateTimeout.NoTimeout)
 
 
 def poll_increments(steps: DataFrame, by: list[str], poll: str, index: str) -> DataFrame:
@@ -76,3 +80,25 @@ def progress(chunks: DataFrame, by: list[str], order: str, size: str, total: str
     run = F.sum(size).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     pct = F.when(F.col(total) > 0, F.greatest(F.least(100.0 * run / F.col(total), F.lit(100.0)), F.lit(0.0))).otherwise(0.0)
     return chunks.withColumns({"sent": run, "percent": pct})
+
+
+def windowed(events: DataFrame, at: str, by: str, value: str, width: str = "1 hour", late: str = "400 days") -> DataFrame:
+    """Counts and sums per window and key; rows later than `late` behind the newest are dropped."""
+    stamped = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
+    out = stamped.groupBy(F.window("__at", width).alias("w"), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n", "total")
+
+
+def drained(stream: DataFrame, what: str) -> DataFrame:
+    """Run a stream over all there is, into files of the shared folder with their own checkpoint, and read these. Aggregates come out as the last batch updates them."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    schema = stream.schema
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    query = stream.writeStream.outputMode("update" if "Aggregate" in stream._jdf.queryExecution().analyzed().toString() else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+    rows = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
+    return rows.select(*schema.names)
