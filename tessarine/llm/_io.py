@@ -48,3 +48,10 @@ def arrow_limits(spark: SparkSession, rows: int = 2000, megabytes: int = 16) ->
     """Bound what one Arrow batch holds, so that long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def spread(df: DataFrame, megabytes: int = 8) -> DataFrame:
+    """df dealt out anew over all cores if it is so small that its files hardly fill them; larger inputs stay as they are split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * (megabytes << 20) else df

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import arrow_limits, table
+from ._io import arrow_limits, spread, table
 from ._vec import ALNUM, LOWER, Words, buffers, hash_word, slabs
 
 #: phrase -> label
@@ -101,7 +101,7 @@ def document_counts(docs: DataFrame, index: Index, text: str = "text") -> tuple[
                 total += np.bincount(there % len(keys), minlength=len(keys))
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(keys)), -1]), pa.array([*total.tolist(), n])], ["i", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    rows = spread(docs.select(text)).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
     found = {r.i: r.n for r in rows}
     return np.array([found.get(i, 0) for i in range(len(keys))], np.int64), int(found.get(-1, 0))
 
@@ -137,9 +137,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
     index = Index(templates, base)
     counts, n = document_counts(docs, index, text)
     weight = idf(counts, n)
-    # a document without any word of some key phrase can't pass, whatever its other words
-    needed = np.zeros(len(index.keys), bool)
-    needed[[int(i) for musts in index.musts for i in index.known(musts[0])]] = True
+    # a document that lacks a word of a template's key phrases can't pass it, whatever its other words
+    needed = [np.unique(index.known(np.concatenate(musts))) for musts in index.musts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +161,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
                     for r in np.unique(row[p]).tolist():
                         own[r0 + r].add(label)
                 known = index.known(h)
-                likely = np.zeros(len(at) - 1, bool)
-                likely[row[(known >= 0) & needed[known]]] = True
+                there = np.zeros((len(at) - 1, len(index.keys)), bool)
+                there[row[known >= 0], known[known >= 0]] = True
+                likely = np.any([there[:, words].all(1) for words in needed], axis=0)
                 for r in np.flatnonzero(likely).tolist():
                     s = slice(w.at[r], w.at[r + 1])
                     found[r0 + r] = judge(h[s], known[s], index, weight, rare, share)
@@ -179,7 +179,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, labels array<string>, score double"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, schema)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
