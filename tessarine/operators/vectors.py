@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,11 +36,11 @@ def unit(v: Column, added: bool = False) -> Column:
 
 
 def centroid(rows: DataFrame, vec: str, *by: str) -> DataFrame:
-    """by, centroid, n: the mean vector of each group, scaled to length 1. Sums per position are combined before the shuffle."""
-    parts = rows.select(*by, F.posexplode(vec).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    mean = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"])
-    grouped = parts.groupBy(*by) if by else parts.groupBy()
-    return grouped.agg(mean.alias("mean"), F.max("n").alias("n")).select(*by, unit(F.col("mean")).alias("centroid"), "n")
+    """by, centroid, n: the mean vector of each group, scaled to length 1. One aggregate that keeps a vector per group and combines before the shuffle."""
+    grouped = rows.where(F.col(vec).isNotNull()).groupBy(*by)
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec))))
+    parts = grouped.agg(mean.alias("mean"), F.count("*").alias("n")).where("n > 0")
+    return parts.select(*by, unit(F.col("mean")).alias("centroid"), "n")
 
 
 def _neighbours(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, k: int):
