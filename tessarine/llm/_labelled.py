@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._io import arrow_limits
+from ._io import arrow_limits, spread
 
 
 def fold(key: str, n: int) -> Column:
@@ -44,7 +44,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], name: str,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(batch.column(at)), pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return spread(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def accepted(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], least: float, text: str = "text") -> DataFrame:
@@ -56,4 +56,4 @@ def accepted(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], least: fl
         for batch in batches:
             yield batch.filter(pa.array(score(batch.column(at)) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
