@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import arrow_limits, cut, table
+from ._io import arrow_limits, cut, spread, table
 from ._vec import ALNUM, LOWER, Words, buffers, mix, slabs
 
 _U = np.uint64
@@ -140,7 +140,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     own = cut(benchmark.select(F.col(item), F.col("text")).mapInArrow(lambda it: _items(it, least), f"item {ikind}, n_words int, pos int, size int, seed bigint"), "items")
     sizes = sorted(r["size"] for r in own.select("size").distinct().collect())
     bits_of = docs.sparkSession.sparkContext.broadcast(bitmap(own, bits))
-    rows = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text")))
     hits = rows.mapInArrow(lambda it: _probe(it, bits_of.value, sizes, bits), f"rk bigint, doc {kind}, pos int, seed bigint")
     hits = cut(hits, "hits")
     which = cut(own.select("seed", "item", "n_words", "size").distinct(), "which")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import arrow_limits, cut, table
+from ._io import arrow_limits, cut, spread, table
 
 #: words with a digit and addresses are variable fields from the start
 _FIELD = re.compile(r"[0-9@]|://")
@@ -78,7 +78,7 @@ def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int, leaves
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, min_words: int = 5, min_docs: int = 3, share: float = 0.6) -> DataFrame:
     """(rk, gone): for each document that loses lines, its row key xxhash64(key, text) and the numbers of its lines to drop."""
     arrow_limits(docs.sparkSession)
-    rows = docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text")))
     kind = docs.schema[key].dataType.simpleString()
     leaves = rows.mapInArrow(lambda it: _lines(it, depth, min_words, True), "leaf bigint")
     often = cut(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")

@@ -8,7 +8,8 @@ variants finds every link, which the whole fingerprints then verify.
 Exact copies collapse before the index: one row per distinct fingerprint. A run of equal variants is read as a
 sorted stream. Short runs are compared directly and a pair is emitted at its first shared variant only; longer runs
 look up each member's possible neighbours (the work is linear in the run) and emit a spanning forest. Runs above
-`run_limit` are not held in memory: their members join the fingerprint table on all of their neighbours.
+`run_limit` are not held in memory: up to a radius of 2 their members join the fingerprint table on all 2080 of their
+neighbours; beyond it they fall into blocks, and every pair of blocks is a unit of at most `run_limit` members.
 
 Defined results: null and empty texts (and texts of white space only) have fingerprint zero and link with each
 other; a text of fewer words than a shingle is one shingle; repeated rows and ids link; a null doc_id takes part in
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._io import arrow_limits, cut, table
+from ._io import arrow_limits, cut, spread, table
 from ._vec import LOWER, SOLID, Words, buffers
 
 _U = np.uint64
@@ -76,7 +78,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint")
+    return spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, fp bigint")
 
 
 def bounds(segments: int) -> list[tuple[int, int]]:
@@ -163,7 +165,7 @@ def forest(members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.nd
                 x.append(p)
                 y.append(q)
 
-    probes = sum(__import__("math").comb(len(bits), r) for r in range(1, radius + 1))
+    probes = sum(comb(len(bits), r) for r in range(1, radius + 1))
     if probes <= max(2100, len(members)):
         for mask in ball(bits, radius):
             other = members ^ mask
@@ -185,11 +187,11 @@ def _index(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Reco
 
 
 def _join(batches: Iterator[pa.RecordBatch], segments: int, radius: int, run_limit: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (k, fp) in; (a, b) links out, and (a, null) for each member of a run above run_limit."""
+    """Sorted (k, fp) in; (a, b, k) links out, and (a, null, k) for each member of a run above run_limit."""
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    def out(a: np.ndarray, b: np.ndarray | None, k: int = 0) -> pa.RecordBatch:
         second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), second], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), second, pa.array(np.full(len(a), k, _U).view(np.int64))], ["a", "b", "k"])
 
     key, fp, over = np.zeros(0, _U), np.zeros(0, _U), None
     for batch in batches:
@@ -197,7 +199,7 @@ def _join(batches: Iterator[pa.RecordBatch], segments: int, radius: int, run_lim
         fp = np.concatenate([fp, batch.column(1).to_numpy().view(_U)])
         if over is not None:
             rest = int(np.argmax(key != over)) if (key != over).any() else len(key)
-            yield out(fp[:rest], None)
+            yield out(fp[:rest], None, over)
             key, fp = key[rest:], fp[rest:]
             if not len(key):
                 continue
@@ -208,12 +210,50 @@ def _join(batches: Iterator[pa.RecordBatch], segments: int, radius: int, run_lim
             key, fp = key[last:], fp[last:]
         if len(key) > run_limit:
             over = key[0]
-            yield out(fp, None)
+            yield out(fp, None, over)
             key, fp = key[:0], fp[:0]
     if len(key):
         yield out(*links_of_runs(key, fp, segments, radius))
 
 
+def _cross(table: pa.Table, radius: int) -> pa.Table:
+    """Links of one unit (side 0: within one block; sides 1 and 2: between two)."""
+    side, fp = table.column("side").to_numpy(), table.column("a").to_numpy().view(_U)
+    a, b = [np.zeros(0, _U)], [np.zeros(0, _U)]
+    if (side == 0).all():
+        for x, y in forest(np.unique(fp), radius):
+            a.append(x)
+            b.append(y)
+    else:
+        left, right = fp[side == 1], fp[side == 2]
+        for x in left:
+            near = right[np.bitwise_count(right ^ x) <= radius]
+            a.append(np.full(len(near), x))
+            b.append(near)
+    return pa.table([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
+
+
+def _long_runs(over: DataFrame, distinct_fp: DataFrame, radius: int, run_limit: int) -> DataFrame:
+    """(a, b): links of runs above run_limit, given their members (k, a)."""
+    if radius <= 2:
+        masks = ball(list(range(64)), radius).view(np.int64)
+
+        def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fp = batch.column(0).to_numpy()
+                for part in np.array_split(masks, max(1, len(masks) // 64)):
+                    near = fp[:, None] ^ part[None, :]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(part))), pa.array(near.ravel())], ["a", "b"])
+
+        near = over.select("a").distinct().mapInArrow(around, "a bigint, b bigint")
+        return near.join(distinct_fp.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
+    sizes = over.groupBy("k").agg(F.ceil(2 * F.count("*") / run_limit).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, own).alias("left"), F.greatest(o, own).alias("right"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
+    units = over.join(cut(sizes, "sizes"), "k").select("k", "a", F.explode(pair).alias("u")).select("k", "u.left", "u.right", "u.side", "a")
+    return units.groupBy("k", "left", "right").applyInArrow(lambda t: _cross(t, radius), "a bigint, b bigint")
+
+
 def links(distinct_fp: DataFrame, radius: int = 2, segments: int | None = None, run_limit: int = 200_000) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints of column fp as all links within radius do."""
     segments = segments or radius // 2 + 1
@@ -224,21 +264,12 @@ def links(distinct_fp: DataFrame, radius: int = 2, segments: int | None = None,
     keyed = distinct_fp.mapInArrow(lambda it: _index(it, segments), "k bigint, fp bigint")
     met = (
         keyed.repartition(F.col("k")).sortWithinPartitions("k")
-        .mapInArrow(lambda it: _join(it, segments, radius, run_limit), "a bigint, b bigint")
+        .mapInArrow(lambda it: _join(it, segments, radius, run_limit), "a bigint, b bigint, k bigint")
     )
     met = cut(met, "met")
-    over = met.where("b is null").select(F.col("a")).distinct()
-    masks = ball(list(range(64)), radius).view(np.int64)
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy()
-            for part in np.array_split(masks, max(1, len(masks) // 64)):
-                near = fp[:, None] ^ part[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(part))), pa.array(near.ravel())], ["a", "b"])
-
-    far = over.mapInArrow(around, "a bigint, b bigint").join(distinct_fp.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")
-    return met.where("b is not null").union(far)
+    over = met.where("b is null").select("k", "a")
+    found = met.where("b is not null").select("a", "b")
+    return found if over.isEmpty() else found.union(_long_runs(over, distinct_fp, radius, run_limit))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, segments: int | None = None, distinct: bool = False, run_limit: int = 200_000) -> DataFrame:

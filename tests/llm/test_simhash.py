@@ -49,9 +49,9 @@ def test_odd_documents_against_plain_version(spark):
     assert got == sorted(((k, f, c) for (k, f), c in zip(fps, plain_components(fps, 2), strict=True)), key=str)
 
 
-@pytest.mark.parametrize(("radius", "run_limit"), [(2, 200_000), (3, 200_000), (2, 8)])
+@pytest.mark.parametrize(("radius", "run_limit"), [(2, 200_000), (3, 200_000), (5, 200_000), (2, 8), (3, 8), (5, 20)])
 def test_links_connect_what_brute_force_connects(spark, radius, run_limit):
-    """Clusters around few centres, so that runs of equal variants are long; a small run_limit takes the join on all neighbours."""
+    """Clusters around few centres, so that runs of equal variants are long; a small run_limit takes the join on all neighbours, or pairs of blocks."""
     rng = np.random.default_rng(5)
     fps = set()
     for centre in rng.integers(0, 1 << 63, 6, dtype=np.uint64):
