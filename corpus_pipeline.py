@@ -26,9 +26,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints over distinct five-word shingles are linked by 3 bits or fewer, that is an estimated cosine of 0.98 and more."""
+    """One document of each group whose fingerprints over distinct five-word shingles are linked by 5 of 64 bits or fewer, that is an estimated cosine of 0.97 and more."""
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = simhash.near_duplicates(docs, shingle=5, radius=3, distinct=True)
+    found = simhash.near_duplicates(docs, shingle=5, radius=5, distinct=True)
     keys = cut(found.where(F.col("key").eqNullSafe(F.col("component"))).select("key").distinct(), "kept")
     # of rows that share an id, the one of the smallest text hash stays
     first = cut(rows.groupBy("doc_id").agg(F.min("__row").alias("__first"), F.count("*").alias("__n")).where("__n > 1"), "repeated")
