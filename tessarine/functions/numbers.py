@@ -61,3 +61,9 @@ def bytes_human(n: Column) -> Column:
         shown = F.when(v >= 10, F.format_string(f"%.0f {unit}", v)).otherwise(F.format_string(f"%.1f {unit}", v))
         out = F.when(n >= float(1024**i), shown).otherwise(out)
     return F.when(n.isNull() | (n == 0), "0 B").otherwise(out)
+
+
+def finite(text: Column) -> Column:
+    """A finite number from any value, or null."""
+    n = text.try_cast("double")
+    return F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")), n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markdown, numbers, resolution, strings
+from ..functions import maps, markdown, numbers, resolution, strings
 from ..operators import geometry as G
 from ..operators import ledger, raster, scoring, spatial, tools, traces
 from ..operators import vectors as V
@@ -700,3 +700,39 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
     out = feeds.drained(feeds.windowed(source, "ts", "event_type", "value"), "hours")
     return out.select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'b' ELSE 'a' END AS phase, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS extra, CASE n_nationkey % 4 WHEN 0 THEN CAST(n_nationkey AS DOUBLE) WHEN 1 THEN 0.5 END AS id,
+  CASE WHEN n_nationkey % 4 > 1 THEN 'invalid_id' WHEN n_nationkey % 2 = 1 THEN 'invalid_parity' END AS reason FROM nation""")
+def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    a = F.create_map(F.lit("phase"), F.lit("a"))
+    b = F.when(k % 3 == 0, F.create_map(F.lit("phase"), F.lit("b"), F.lit("extra"), F.col("n_name")))
+    ident = numbers.finite(F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, "0.5").when(k % 4 == 2, "NaN").otherwise("x"))
+    m = load(spark, sf_dir, "nation").select("n_nationkey", maps.merged(a, b).alias("m"), ident.alias("id"))
+    return m.select("n_nationkey", maps.get(F.col("m"), "phase").alias("phase"), maps.get(F.col("m"), "extra").alias("extra"), "id", maps.rejection(id=F.col("id").isNotNull(), parity=k % 2 == 0).alias("reason"))
+
+
+@query("""WITH s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id FROM events), a AS (SELECT run_id, pos, CASE WHEN run_id % 5 = 0 AND pos = 3 THEN -1 ELSE event_id END AS k FROM s WHERE pos <= 10),
+b AS (SELECT run_id, pos, event_id AS k FROM s WHERE run_id % 7 <> 0 OR pos < 8) SELECT coalesce(a.run_id, b.run_id) AS run_id, bool_or(a.k IS NOT NULL AND a.k IS DISTINCT FROM b.k) AS rebuild FROM a FULL JOIN b ON a.run_id = b.run_id AND a.pos = b.pos GROUP BY 1""")
+def rebuild_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ledger.numbered(views.steps(spark, sf_dir), ["run_id"], ["ts", "event_id"], "pos")
+    shown = s.where("pos <= 10").select("run_id", "pos", F.when((F.col("run_id") % 5 == 0) & (F.col("pos") == 3), -1).otherwise(F.col("event_id")).alias("k"))
+    return feeds.rebuild_needed(shown, s.where("run_id % 7 <> 0 OR pos < 8").select("run_id", "pos", F.col("event_id").alias("k")), "run_id", "pos", "k")
+
+
+@query("""WITH p AS (SELECT page_id, '/data/runs/' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '/../x' WHEN page_id % 3 = 1 THEN '/reports/a' ELSE '/b' END AS path FROM pages)
+SELECT page_id, path FROM p WHERE starts_with(path, '/data/runs/') AND NOT contains(path, '/../') AND NOT starts_with(path, '/data/runs/4/')""")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    p = load(spark, sf_dir, "pages").select(k, F.concat(F.lit("/data/runs/"), (k % 7).cast("string"), F.when(k % 3 == 0, "/../x").when(k % 3 == 1, "/reports/a").otherwise("/b")).alias("path"))
+    return files.deletable(p, "/data/runs", keep=("4",))
+
+
+@query("""WITH s AS (SELECT user_id AS run_id, count(*) AS n_steps, max(event_id) AS last_step FROM events GROUP BY 1), m AS (SELECT user_id AS run_id, count(*) AS n_marks FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT s.run_id, n_steps, last_step, coalesce(n_marks, 0) AS n_marks FROM s LEFT JOIN m USING (run_id)""")
+def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.steps(spark, sf_dir)
+    marks = s.where("event_type = 'purchase'").select("run_id", "event_id")
+    snap = ledger.snapshot(s.select("run_id").distinct(), steps=s.select("run_id", "event_id"), marks=marks)
+    return snap.select("run_id", F.size("steps").cast("bigint").alias("n_steps"), F.element_at("steps", -1)["event_id"].alias("last_step"), F.coalesce(F.size("marks"), F.lit(0)).cast("bigint").alias("n_marks"))

@@ -129,3 +129,37 @@ def copy_names(images: DataFrame, by: list[str], path: str = "path", order: str
 
 def debug_name(n: Column, tag: Column) -> Column:
     return F.format_string("%04d_%s.jpg", n.cast("int"), tag)
+
+
+#: First bytes of the image kinds that can be told apart without decoding.
+MAGIC = ((b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpeg"), (b"II*\x00", "tiff"), (b"MM\x00*", "tiff"), (b"II+\x00", "bigtiff"), (b"PK\x03\x04", "zip"))
+
+
+def probe(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, kind, error) of the files below a folder by their first bytes: an unreadable file is a row, not a failure. Spark's reader passes over empty files."""
+    head = F.substring(F.hex("content"), 1, 16)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    kind = F.lit(None).cast("string")
+    for magic, name in MAGIC:
+        kind = F.when(head.startswith(magic.hex().upper()), name).otherwise(kind)
+    error = F.when(kind.isNull(), "unsupported_or_missing_image")
+    return files.select("path", kind.alias("kind"), error.alias("error"))
+
+
+def existing(rows: DataFrame, listed: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose file is in a listing."""
+    return rows.join(listed.select(F.col("path").alias(path)), path, "left_semi")
+
+
+def deletable(listed: DataFrame, base: str, keep: tuple[str, ...] = (), path: str = "path") -> DataFrame:
+    """Listed files strictly below base, but for those below the kept folders: what a retention job may delete."""
+    p = F.col(path)
+    ok = is_within(p, base) & ~F.array_contains(F.split(p, "/"), "..")
+    for folder in keep:
+        ok = ok & ~is_within(p, f"{base.rstrip('/')}/{folder}")
+    return listed.where(ok)
+
+
+def write_saved_tiles(tiles: DataFrame, folder: str) -> None:
+    """Saved tiles as files by run and quality; readers of one run touch its folders only."""
+    tiles.write.mode("append").partitionBy("run_id", "quality").parquet(folder)

@@ -165,3 +165,13 @@ def search_index(spark: SparkSession, folder: str, query: list[float], k: int, p
 
     dist = 1.0 - dot(F.col("vec"), mine) if meta.space != "l2" else F.aggregate(F.zip_with("vec", mine, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
     return rows.select("tile_id", "label", "path", dist.alias("dist")).orderBy("dist", "tile_id").limit(k)
+
+
+def as_image(value: object) -> np.ndarray:
+    """A transform's output as [channels, rows, columns] of float32; a leading batch of one is dropped, other shapes are an error."""
+    out = np.asarray(value)
+    if out.ndim == 4 and out.shape[0] == 1:
+        out = out[0]
+    if out.ndim != 3:
+        raise ValueError(f"an image needs three dimensions, not {out.ndim}")
+    return out.astype(np.float32)

@@ -102,3 +102,11 @@ def drained(stream: DataFrame, what: str) -> DataFrame:
     query.awaitTermination()
     rows = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
     return rows.select(*schema.names)
+
+
+def rebuild_needed(shown: DataFrame, incoming: DataFrame, by: str, pos: str, key: str) -> DataFrame:
+    """(by, rebuild): whether what is shown is no longer a prefix of what comes in: some shown position holds another key, or none."""
+    a = shown.select(by, pos, F.col(key).alias("__shown"))
+    b = incoming.select(by, pos, F.col(key).alias("__new"))
+    met = a.join(b, [by, pos], "full_outer")
+    return met.groupBy(by).agg(F.bool_or(F.col("__shown").isNotNull() & ~F.col("__shown").eqNullSafe(F.col("__new"))).alias("rebuild"))

@@ -215,3 +215,55 @@ def test_exploration_tools(spark):
     assert [r.ok for r in tools.access(agents).collect()] == [True, False, False, False]
     low = tools.with_tissue(views, spark.createDataFrame([("r", 1, 0.1)], "run_id string, view_seq long, tissue_fraction double"))
     assert {r.view_seq: r.warning for r in low.collect()} == {0: None, 1: "low_tissue"}
+
+
+def test_probe_existing_and_sinks(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, data in (("a.png", png([[1, 2]])), ("b.svs", b"II*\x00rest"), ("c.svs", b"nonsense"), ("f.jpg", b"\xff\xd8\xff\xe0")):
+        (tmp_path / "d" / name).write_bytes(data)
+    got = {r.path.split("/")[-1]: (r.kind, r.error) for r in files.probe(spark, str(tmp_path / "d")).collect()}
+    assert got == {"a.png": ("png", None), "b.svs": ("tiff", None), "c.svs": (None, "unsupported_or_missing_image"), "f.jpg": ("jpeg", None)}
+    listed = files.listing(spark, str(tmp_path / "d"))
+    asked = listed.limit(2).select("path").union(spark.createDataFrame([("gone",)], "path string"))
+    assert files.existing(asked, listed).count() == 2
+    files.write_saved_tiles(spark.createDataFrame([("r", "good", 1), ("r", "bad", 1)], "run_id string, quality string, tile_idx int"), str(tmp_path / "tiles"))
+    assert (tmp_path / "tiles" / "run_id=r" / "quality=good").is_dir()
+    assert files.first_examples(listed, 5).count() == 2
+
+
+def test_image_adapter():
+    assert tiles.as_image(np.zeros((1, 3, 4, 5))).shape == (3, 4, 5)
+    with pytest.raises(ValueError, match="three dimensions"):
+        tiles.as_image(np.zeros((2, 3, 4, 5)))
+
+
+def test_progress_and_cancel(spark, tmp_path):
+    import time
+
+    from tessarine.streaming import jobs
+
+    seen = []
+    listener = jobs.Progress(seen.append)
+    spark.streams.addListener(listener)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"a": 1}')
+    feeds.append_only(spark, str(tmp_path / "in"), "a int").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    for _ in range(40):
+        if any(e["status"] == "done" for e in seen):
+            break
+        time.sleep(0.25)
+    spark.streams.removeListener(listener)
+    assert {"starting", "done"} <= {e["status"] for e in seen}
+    failed = []
+
+    def slow():
+        try:
+            spark.range(0, 1 << 40, 1, 4).selectExpr("sum(id * id % 7)").collect()
+        except Exception as e:
+            failed.append(e)
+
+    thread = jobs.tagged(spark, "run-1", slow)
+    time.sleep(2)
+    jobs.cancel(spark, "run-1")
+    thread.join(30)
+    assert failed and not thread.is_alive()
