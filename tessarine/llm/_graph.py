@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._io import cut, forget
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of `edges`, root being the smallest node of its component.
 
     Every round is two equality joins on plain exchanges, so AQE can split a hub's rows, and ends in a
@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct()
     e = cut(e, "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select("hi", "lo"))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select("v", "m").distinct()

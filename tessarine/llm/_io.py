@@ -50,7 +50,7 @@ def arrow_limits(spark: SparkSession, rows: int = 2000, megabytes: int = 16) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
-def spread(df: DataFrame, megabytes: int = 8) -> DataFrame:
+def spread(df: DataFrame, megabytes: int = 2) -> DataFrame:
     """df dealt out anew over all cores if it is so small that its files hardly fill them; larger inputs stay as they are split."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

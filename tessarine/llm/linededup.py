@@ -121,3 +121,23 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, counts=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+#: The same rule by counts. White space of lines is ASCII there.
+ORACLE = r"""
+WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, i, list_transform(regexp_extract_all(lower(parts[i]), '[^\x09-\x0D\x1C-\x20]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS w FROM p, unnest(range(1, len(parts) + 1)) t(i)),
+n AS MATERIALIZED (SELECT doc_id, i, w, [CAST(len(w) AS VARCHAR), w[1], w[2], w[3]] AS leaf FROM l WHERE len(w) >= 5),
+often AS (SELECT leaf FROM n GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
+c AS MATERIALIZED (SELECT n.* FROM n JOIN often USING (leaf)),
+u AS MATERIALIZED (SELECT leaf, w, count(DISTINCT doc_id) AS docs FROM c GROUP BY leaf, w),
+x AS MATERIALIZED (SELECT leaf, w, docs, k, w[k] AS word FROM u, unnest(range(1, len(w) + 1)) t(k)),
+fixed AS MATERIALIZED (SELECT leaf, k, word FROM x GROUP BY leaf, k, word HAVING sum(docs) >= 3),
+t AS MATERIALIZED (SELECT leaf, w, list({'k': k, 'word': word} ORDER BY k) AS template, count(*) FILTER (WHERE k > 3) AS tail FROM x JOIN fixed USING (leaf, k, word) GROUP BY leaf, w),
+a AS MATERIALIZED (SELECT c.doc_id, c.i, c.leaf, t.template FROM c JOIN t USING (leaf, w) WHERE tail >= 0.6 * greatest(len(c.w) - 3, 1)),
+r AS (SELECT leaf, template, min(doc_id) AS keeper FROM a GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM a JOIN r USING (leaf, template) WHERE doc_id <> keeper GROUP BY doc_id)
+SELECT p.doc_id, CAST(coalesce(len(parts), 0) AS INT) AS n_lines, CAST(coalesce(len(gone), 0) AS INT) AS n_dropped,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(gone, i)), lambda i: parts[i]), chr(10)) END AS text
+FROM p LEFT JOIN g ON p.doc_id = g.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, warc
+from . import linededup, mixing, urlfilter, vectors, warc
 from .decontaminate import op6_decontaminate
 from .licenses import op9_licenses
 from .linededup import op1_line_dedup
@@ -26,4 +26,10 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op2_warc": warc.ORACLE, "op10_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op2_warc": warc.ORACLE,
+    "op5_vectors": vectors.ORACLE,
+    "op8_url_filter": urlfilter.oracle(),
+    "op10_mixing": mixing.oracle(),
+}

@@ -100,4 +100,33 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "pages"))
-    return found.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", "trust", "distrust")
+    return found.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+
+
+def oracle(damping: float = 0.85, rounds: int = 12) -> str:
+    """The same in DuckDB SQL, one common table expression per round."""
+    lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
+    link = _LINK.replace("'", "''")
+    sql = f"""
+WITH a AS MATERIALIZED (SELECT page_id, html, {lower(f"coalesce(regexp_extract(url, '{_PARTS}', 1), '')")} AS host, coalesce(regexp_extract(url, '{_PARTS}', 2), '') AS path FROM pages),
+p AS MATERIALIZED (SELECT page_id, host, path, {rule} AS rule, {ruled} AS ruled FROM a),
+l AS (SELECT host AS src, {lower("dst")} AS dst FROM a, unnest(regexp_extract_all(html, '{link}', 1)) t(dst)),
+e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+b AS (SELECT 1 AS way, src AS host, dst AS towards, n FROM e UNION ALL SELECT -1, dst, src, n FROM e),
+edge AS MATERIALIZED (SELECT way, host, towards, n / sum(n) OVER (PARTITION BY way, host) AS share FROM b),
+s AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS allowed, count(*) FILTER (WHERE ruled = 'block') AS blocked FROM p WHERE ruled IS NOT NULL AND host <> '' GROUP BY host),
+start AS MATERIALIZED (SELECT 1 AS way, host, allowed / sum(allowed) OVER () AS mass FROM s WHERE allowed > 0 UNION ALL SELECT -1, host, blocked / sum(blocked) OVER () FROM s WHERE blocked > 0),
+r0 AS (FROM start)"""
+    for i in range(1, rounds + 1):
+        sql += f""",
+r{i} AS MATERIALIZED (SELECT way, host, sum(mass) AS mass FROM (SELECT way, edge.towards AS host, {damping} * share * mass AS mass FROM edge JOIN r{i - 1} USING (way, host)
+  UNION ALL SELECT way, host, CASE WHEN EXISTS (FROM edge) THEN 1 - {damping} ELSE 1 END * mass FROM start) GROUP BY way, host)"""
+    return sql + f""",
+z AS (SELECT host, coalesce(sum(mass) FILTER (WHERE way = 1), 0) AS trust, coalesce(sum(mass) FILTER (WHERE way = -1), 0) AS distrust FROM r{rounds} GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust - trust > 0 THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+FROM p LEFT JOIN z USING (host)
+"""

@@ -217,3 +217,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("key").eqNullSafe(F.col("component")).alias("kept"))
+
+
+#: All pairs, for tables small enough for that.
+ORACLE = """
+WITH RECURSIVE u AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+e AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.95),
+w AS (SELECT vec_id AS x, vec_id AS y FROM u UNION SELECT w.x, e.y FROM w JOIN e ON w.y = e.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM w GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
