@@ -36,8 +36,9 @@ from ._vec import LOWER, SOLID, Words, buffers
 _U = np.uint64
 
 
-def fingerprint(data: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: int, distinct: bool = False) -> int:
-    """Of one text whose words have these byte bounds (A-Z already lower-cased)."""
+def fingerprint(data: bytes, start: np.ndarray, end: np.ndarray, shingle: int, distinct: bool = False) -> int:
+    """Of one text whose words have these byte bounds (A-Z already lower-cased). With distinct, each shingle counts once, and the
+    smallest hash decides bits that just half of the shingles have: else texts of two shingles would be mostly zeros and alike."""
     n = len(start)
     if not n:
         return 0
@@ -52,15 +53,17 @@ def fingerprint(data: np.ndarray, start: np.ndarray, end: np.ndarray, shingle: i
     h = np.array([digest(text[a:b], 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], _U)
     if distinct:
         h = np.unique(h)
+        return majority(h, int(h[0]))
     return majority(h)
 
 
-def majority(h: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes."""
+def majority(h: np.ndarray, ties: int = 0) -> int:
+    """Bits that are set in over half of the hashes; where just half have a bit, that of `ties`."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         total += np.unpackbits(h[i : i + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view(_U)[0])
+    even = np.unpackbits(np.array([ties], _U).view(np.uint8), bitorder="little").astype(bool) & (total * 2 == len(h))
+    return int(np.packbits((total * 2 > len(h)) | even, bitorder="little").view(_U)[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, distinct: bool = False) -> DataFrame:
