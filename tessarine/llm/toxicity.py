@@ -96,8 +96,8 @@ def swaps(text: str, identity: tuple[tuple[str, ...], ...] = IDENTITY, each: int
     return out
 
 
-def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, epochs: int = 800, rate: float = 0.5, least: int = 3, max_pairs: int = 20_000) -> Model:
-    """penalty: weight of the squared logit change over swaps; least: texts a feature must be in."""
+def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, epochs: int = 800, rate: float = 0.5, least: int = 3, beyond: float = 4.0, max_pairs: int = 20_000) -> Model:
+    """penalty: weight of the squared logit change over swaps; least: texts a feature must be in; beyond: standard errors between the classes' shares of a feature."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, _U), np.zeros(0), 0.0)
     bags = [bag(t) for t in texts]
@@ -108,7 +108,7 @@ def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] =
     # features whose share differs between the classes beyond chance
     rate1, rate0, pool = pos / n1, neg / n0, (pos + neg) / (n1 + n0)
     z = (rate1 - rate0) / np.sqrt(np.maximum(pool * (1 - pool), 1e-12) * (1 / n1 + 1 / n0))
-    good = np.flatnonzero((pos + neg >= least) & (np.abs(z) > 4))
+    good = np.flatnonzero((pos + neg >= least) & (np.abs(z) > beyond))
     new = np.full(len(keys), -1)
     new[good] = np.arange(len(good))
     keep = new[code] >= 0
