@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
 from .vectors import centroid, dot, doubles, nearest, unit
 
 #: Weights of the fused scores, slope and clip of the likelihood, limits of the hints.
@@ -79,7 +80,7 @@ def fused(rows: DataFrame, references: DataFrame | None = None, k: int = NEIGHBO
     else:
         mode = "no_reference_tiles" if references is not None else "generic"
         facts = facts.withColumns({"bad_margin": F.lit(0.0), "bad_likelihood": F.lit(0.5), "reference_mode": F.lit(mode)})
-    facts = z_scores(facts, *weights)
+    facts = z_scores(cut(facts, "facts"), *weights)  # the aggregates and the rows both read it: neighbours are found once
     total = F.lit(0.0)
     for name, weight in weights.items():
         total = total + weight * F.col(f"z_{name}")

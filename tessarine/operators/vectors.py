@@ -75,9 +75,9 @@ def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_val
     k best of each unit merge in a window per row.
     """
     slim = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec"))
-    size = slim.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first()
+    n, head = slim.count(), slim.first()  # a count reads no vectors
     schema = "id bigint, other bigint, dist double"
-    if size.n * size.d <= most_values:
+    if head is None or n * len(head.vec) <= most_values:
         all_rows = slim.toArrow()
         ids, x = all_rows.column("id").to_numpy(), _matrix(all_rows.column("vec").combine_chunks())
         sent = slim.sparkSession.sparkContext.broadcast((ids, x))
@@ -91,9 +91,9 @@ def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_val
                     i, o, d = _neighbours(own, _matrix(part.column(1)), other_ids, other, k)
                     yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(o), pa.array(d)], ["id", "other", "dist"])
 
-        met = slim.repartition(slim.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema) if size.n > 512 else slim.mapInArrow(run, schema)
+        met = slim.repartition(slim.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema) if n > 512 else slim.mapInArrow(run, schema)
     else:
-        blocks = max(1, -(-size.n // block))
+        blocks = max(1, -(-n // block))
         own = slim.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         left = own.select(F.col("b").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("r"), F.lit(True).alias("asks"), "id", "vec")
         right = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("l"), F.col("b").alias("r"), F.lit(False).alias("asks"), "id", "vec")
