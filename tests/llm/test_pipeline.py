@@ -91,3 +91,26 @@ def test_benchmark_stage(spark, staged):
 
 def test_run_gives_the_last_stage(spark, staged):
     assert pairs(cp.run(spark, SF)) == pairs(staged["mixing sources to target weights"][1])
+
+
+def odd_table(spark, rows):
+    from tests.llm.fixtures import with_clashes
+
+    return with_clashes(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
+@pytest.mark.parametrize("index", range(len(cp.STAGES)))
+def test_stages_on_odd_rows_and_empty_tables(spark, index):
+    from tests.llm.fixtures import odd_documents
+
+    name, stage = cp.STAGES[index]
+    rows = [(k, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else f"s{i % 2}", None if t is None else len(t)) for i, (k, t) in enumerate(odd_documents())]
+    docs = odd_table(spark, rows)
+    out = stage(spark, docs, SF)
+    assert out.columns[: len(docs.columns)] == docs.columns and (len(out.columns) == len(docs.columns) or index == len(cp.STAGES) - 1)
+    kept = [r.doc_id for r in out.collect()]
+    known = [r[0] for r in rows]
+    assert all(kept.count(k) <= known.count(k) for k in set(kept))
+    if name in ("quality classifier", "line dedup", "benchmark decontamination"):
+        assert 10 in kept  # plain prose stays
+    assert stage(spark, docs.limit(0), SF).count() == 0
