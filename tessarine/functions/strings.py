@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Accepted file name endings.
 STANDARD_EXTS = (".svs", ".tif", ".tiff", ".ndpi")
 MIRAX_EXTS = (".mrxs", ".mrsx")
-IMAGE_EXTS = (".jpg", ".jpeg", ".png")
+IMAGE_EXTS = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
 
 
 def safe_filename(text: Column, longest: int = 64) -> Column:

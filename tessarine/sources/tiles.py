@@ -79,10 +79,12 @@ def cached(spark: SparkSession, folder: str, params: dict, make: Callable[[], Da
     return spark.read.parquet(path)
 
 
-def coordinates(names: DataFrame, name: str = "name") -> DataFrame:
-    """x_um and y_um from member names like tile_(12.5, 256.0).jpg; names without them are left out."""
-    pattern = r"^tile_\((-?\d+(?:\.\d+)?), (-?\d+(?:\.\d+)?)\)\.jpg$"
-    return names.select("*", F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("double").alias("x_um"), F.nullif(F.regexp_extract(name, pattern, 2), F.lit("")).cast("double").alias("y_um")).where("x_um is not null")
+def coordinates(names: DataFrame, name: str = "name", ext: str = "jpg") -> DataFrame:
+    """x_um and y_um from member names like tile_(12.5, -256).jpg, in plain decimal notation; names without them are left out."""
+    number = r"[-+]?(?:\d+(?:\.\d+)?|\.\d+)"
+    pattern = rf"^tile_\(({number}), ({number})\)\.{ext}$"
+    part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit("")).cast("double")
+    return names.select("*", part(1).alias("x_um"), part(2).alias("y_um")).where("x_um is not null")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:

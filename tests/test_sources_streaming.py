@@ -99,8 +99,9 @@ def test_model_outputs_as_rows():
 
 
 def test_member_names(spark):
-    df = spark.createDataFrame([("tile_(1.5, -2.0).jpg",), ("tile_(1e3, 2).jpg",), ("x",)], "name string")
-    assert [(r.x_um, r.y_um) for r in tiles.coordinates(df).collect()] == [(1.5, -2.0)]
+    df = spark.createDataFrame([("tile_(1.5, -2.0).jpg",), ("tile_(1e3, 2).jpg",), ("tile_(+.5, 2).jpg",), ("tile_(1, 2).png",), ("x",)], "name string")
+    assert [(r.x_um, r.y_um) for r in tiles.coordinates(df).collect()] == [(1.5, -2.0), (0.5, 2.0)]
+    assert [(r.x_um, r.y_um) for r in tiles.coordinates(df, ext="png").collect()] == [(1.0, 2.0)]
 
 
 def test_images_to_dark_regions(spark, tmp_path):
