@@ -130,15 +130,15 @@ SEEN = f"seen AS (SELECT * FROM t WHERE cx BETWEEN {VIEW[0]} AND {VIEW[0] + VIEW
 
 
 def greedy_sql(source: str, gap: float, side: float, limit: float, top: int = spatial.TOP_K) -> str:
-    """Recursion over the accepted list: the next row by rank that clashes with none of it."""
+    """Recursion over the accepted list of each group grp: the next row by rank that clashes with none of it."""
     inter = f"greatest({side} - abs(a.cx - o.cx), 0) * greatest({side} - abs(a.cy - o.cy), 0)"
     return f"""
-o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rn FROM {source}),
-g AS (SELECT 1 AS rank, rn, [rn] AS taken FROM o WHERE rn = 1
-  UNION ALL SELECT rank + 1, n.rn, list_append(taken, n.rn) FROM g, LATERAL (SELECT min(o.rn) AS rn FROM o WHERE o.rn > g.rn AND NOT EXISTS (
-    SELECT 1 FROM o a WHERE list_contains(g.taken, a.rn) AND ((a.cx - o.cx) ** 2 + (a.cy - o.cy) ** 2 < {gap} * {gap} OR {inter} / (2 * {side} * {side} - {inter}) > {limit}))) n
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, id) AS rn FROM {source}),
+g AS (SELECT grp, 1 AS rank, rn, [rn] AS taken FROM o WHERE rn = 1
+  UNION ALL SELECT g.grp, rank + 1, n.rn, list_append(taken, n.rn) FROM g, LATERAL (SELECT min(o.rn) AS rn FROM o WHERE o.grp = g.grp AND o.rn > g.rn AND NOT EXISTS (
+    SELECT 1 FROM o a WHERE a.grp = g.grp AND list_contains(g.taken, a.rn) AND ((a.cx - o.cx) ** 2 + (a.cy - o.cy) ** 2 < {gap} * {gap} OR {inter} / (2 * {side} * {side} - {inter}) > {limit}))) n
   WHERE rank < {top} AND n.rn IS NOT NULL),
-picked AS (SELECT rank, id, cx, cy, score FROM g JOIN o USING (rn))"""
+picked AS (SELECT grp, rank, id, cx, cy, score FROM g JOIN o USING (grp, rn))"""
 
 
 def grid_sql(cols: str) -> str:
@@ -161,7 +161,7 @@ def ranked_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(scoring.fused(views.vectors(spark, sf_dir)).select("id", F.round("score", 9).alias("score")), "id")
 
 
-@query(f"""WITH RECURSIVE {UNIT}{NEAR}{CENTRE}{FUSED}, {TILES}, {SEEN}, s AS (SELECT id, cx, cy, round(score, 9) AS score FROM seen JOIN f USING (id)),
+@query(f"""WITH RECURSIVE {UNIT}{NEAR}{CENTRE}{FUSED}, {TILES}, {SEEN}, s AS (SELECT 0 AS grp, id, cx, cy, round(score, 9) AS score FROM seen JOIN f USING (id)),
 {greedy_sql("s", 2048, SIDE, 0.2)} {grid_sql("CAST(rank AS BIGINT) AS rank, id, round(score, 6) AS score")} FROM picked""")
 def roi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = spatial.suppress(ranked_tiles(spark, sf_dir), [], SIDE, 2048)
@@ -173,19 +173,20 @@ def view_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.tiles(spark, sf_dir).where(spatial.in_view(F.col("cx"), F.col("cy"), VIEW)).select("id", "cx", "cy")
 
 
-@query(f"""WITH {TILES}, w AS (SELECT vec_id AS view_id, (vec_id * 37 % 20) * 1000.0 AS x, (vec_id * 53 % 20) * 1000.0 AS y, 4096.0 AS w, 3000.0 AS h FROM embeddings WHERE vec_id < 100)
+@query(f"""WITH {TILES}, w AS (SELECT vec_id AS view_id, (vec_id * 37 % 20) * 1000.0 AS x, (vec_id * 53 % 20) * 1000.0 AS y, 4096.0 AS w, 3000.0 AS h FROM embeddings)
 SELECT view_id, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM w JOIN t ON cx BETWEEN x AND x + w AND cy BETWEEN y AND y + h GROUP BY view_id""")
 def tiles_in_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = load(spark, sf_dir, "embeddings").where("vec_id < 100").selectExpr("0 AS slide_id", "vec_id AS view_id", "double(vec_id * 37 % 20) * 1000 AS x", "double(vec_id * 53 % 20) * 1000 AS y", "double(4096) AS w", "double(3000) AS h")
+    w = load(spark, sf_dir, "embeddings").selectExpr("0 AS slide_id", "vec_id AS view_id", "double(vec_id * 37 % 20) * 1000 AS x", "double(vec_id * 53 % 20) * 1000 AS y", "double(4096) AS w", "double(3000) AS h")
     met = spatial.tiles_in_views(views.tiles(spark, sf_dir).withColumn("slide_id", F.lit(0)), w)
     return met.groupBy("view_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query(f"""WITH RECURSIVE {TILES}, s AS (SELECT id, cx / 2 AS cx, cy / 2 AS cy, round(CAST(id * 7919 % 1000 AS DOUBLE), 6) AS score FROM t WHERE id < 400),
-{greedy_sql("s", 870, SIDE, 0.05)} SELECT CAST(rank AS BIGINT) AS rank, id, score FROM picked""")
+@query(f"""WITH RECURSIVE {TILES}, s AS (SELECT id // 400 AS grp, id, cx / 2 AS cx, cy / 2 AS cy, round(CAST(id * 7919 % 1000 AS DOUBLE), 6) AS score FROM t),
+{greedy_sql("s", 870, SIDE, 0.05)} SELECT grp, CAST(rank AS BIGINT) AS rank, id, score FROM picked""")
 def greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.tiles(spark, sf_dir).where("id < 400").select("id", (F.col("cx") / 2).alias("cx"), (F.col("cy") / 2).alias("cy"), (F.col("id") * 7919 % 1000).cast("double").alias("score"))
-    return spatial.suppress(rows, [], SIDE, 512, max_iou=0.05).select(F.col("rank").cast("bigint").alias("rank"), "id", "score")
+    """Every 400 tiles are a slide of their own, at half the spacing, so that neighbours overlap."""
+    rows = views.tiles(spark, sf_dir).select(F.floor(F.col("id") / 400).alias("grp"), "id", (F.col("cx") / 2).alias("cx"), (F.col("cy") / 2).alias("cy"), (F.col("id") * 7919 % 1000).cast("double").alias("score"))
+    return spatial.suppress(rows, ["grp"], SIDE, 512, max_iou=0.05).select("grp", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
 @query(f"WITH {TILES}, {SEEN} {grid_sql('id')}, CAST(x0 AS BIGINT) AS tx0, CAST(y0 AS BIGINT) AS ty0 FROM seen")
@@ -195,14 +196,15 @@ def candidate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_grid(g.withColumn("tx0", F.get("tile_bbox_level0", F.lit(0))).withColumn("ty0", F.get("tile_bbox_level0", F.lit(1))), "id", "tx0", "ty0").select("id", "nx", "ny", "bx0", "by0", "bx1", "by1", "tx0", "ty0")
 
 
-@query("""WITH c AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS rank, vec_id * 83 % 1000 AS nx, vec_id * 131 % 1000 AS ny FROM embeddings WHERE vec_id < 12),
-p AS (SELECT vec_id AS point, vec_id * 277 % 1000 AS px, vec_id * 389 % 1000 AS py FROM embeddings WHERE vec_id < 300),
-d AS (SELECT *, sqrt((px - nx) ** 2 + (py - ny) ** 2) AS dist FROM p, c), b AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY dist, rank) AS r FROM d)
+@query("""WITH c AS (SELECT vec_id // 12 AS run, vec_id AS id, vec_id % 12 + 1 AS rank, vec_id * 83 % 1000 AS nx, vec_id * 131 % 1000 AS ny FROM embeddings),
+p AS (SELECT vec_id // 12 AS run, vec_id AS point, vec_id * 277 % 1000 AS px, vec_id * 389 % 1000 AS py FROM embeddings),
+d AS (SELECT *, sqrt((px - nx) ** 2 + (py - ny) ** 2) AS dist FROM p JOIN c USING (run)), b AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY dist, rank) AS r FROM d)
 SELECT point, CASE WHEN dist <= 170 THEN id END AS id, CASE WHEN dist <= 170 THEN rank END AS rank, round(dist, 6) AS distance, CASE WHEN dist > 170 THEN 'roi_outside_topk_candidates' END AS reason FROM b WHERE r = 1""")
 def nearest_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.lit(1).alias("run"))
-    c = e.where("vec_id < 12").selectExpr("run", "vec_id AS id", "vec_id + 1 AS rank", "vec_id * 83 % 1000 AS nx", "vec_id * 131 % 1000 AS ny")
-    p = e.where("vec_id < 300").selectExpr("run", "vec_id AS point", "vec_id * 277 % 1000 AS px", "vec_id * 389 % 1000 AS py")
+    """Every twelve vectors are the candidates of a run, and ask for the nearest of its twelve from other places."""
+    e = load(spark, sf_dir, "embeddings")
+    c = e.selectExpr("vec_id div 12 AS run", "vec_id AS id", "vec_id % 12 + 1 AS rank", "vec_id * 83 % 1000 AS nx", "vec_id * 131 % 1000 AS ny")
+    p = e.selectExpr("vec_id div 12 AS run", "vec_id AS point", "vec_id * 277 % 1000 AS px", "vec_id * 389 % 1000 AS py")
     return spatial.nearest_candidate(p, c, ["run"]).select("point", "id", "rank", rounded("distance"), "reason")
 
 
@@ -607,7 +609,7 @@ def mirax_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT page_id % 50 AS run_id, page_id, CASE (page_id % 50) % 6 WHEN 0 THEN 'a.zip' WHEN 1 THEN 's' || page_id || '.svs' WHEN 2 THEN CASE WHEN page_id < 50 THEN 'x/m.mrxs' ELSE 'x/m/d' || page_id || '.dat' END
-  WHEN 3 THEN CASE WHEN page_id < 50 THEN 'm.mrxs' ELSE 'a.svs' END WHEN 4 THEN 'n' || page_id || '.txt' ELSE CASE WHEN page_id < 50 THEN 'm.mrxs' ELSE 'q/d' || page_id || '.dat' END END AS path FROM pages WHERE page_id < 100),
+  WHEN 3 THEN CASE WHEN page_id < 50 THEN 'm.mrxs' ELSE 'a.svs' END WHEN 4 THEN 'n' || page_id || '.txt' ELSE CASE WHEN page_id < 50 THEN 'm.mrxs' ELSE 'q/d' || page_id || '.dat' END END AS path FROM pages),
 g AS (SELECT run_id, count(*) AS n, (run_id % 6) AS k, min(path) AS p FROM f GROUP BY 1)
 SELECT run_id, CASE k WHEN 0 THEN CASE WHEN n = 1 THEN 'zip' END WHEN 1 THEN CASE WHEN n = 1 THEN 'standard' END WHEN 2 THEN CASE WHEN n > 1 THEN 'mirax' END END AS kind,
   CASE k WHEN 0 THEN CASE WHEN n = 1 THEN p END WHEN 1 THEN CASE WHEN n = 1 THEN p END WHEN 2 THEN CASE WHEN n > 1 THEN 'x/m.mrxs' END END AS "primary",
@@ -620,7 +622,7 @@ def bundle_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r % 6 == 0, "a.zip").when(r % 6 == 1, F.concat(F.lit("s"), s, F.lit(".svs"))).when(r % 6 == 2, F.when(early, "x/m.mrxs").otherwise(F.concat(F.lit("x/m/d"), s, F.lit(".dat"))))
         .when(r % 6 == 3, F.when(early, "m.mrxs").otherwise("a.svs")).when(r % 6 == 4, F.concat(F.lit("n"), s, F.lit(".txt"))).otherwise(F.when(early, "m.mrxs").otherwise(F.concat(F.lit("q/d"), s, F.lit(".dat"))))
     )
-    return files.validate_bundles(load(spark, sf_dir, "pages").where("page_id < 100").select(r.alias("run_id"), path.alias("path")))
+    return files.validate_bundles(load(spark, sf_dir, "pages").select(r.alias("run_id"), path.alias("path")))
 
 
 @query("""WITH f AS (SELECT page_id AS seq, page_id % 4 AS run_id, 'd' || (page_id % 9) || '/v' || (page_id % 6) || '.jpg' AS path FROM pages), o AS (SELECT run_id, path, min(seq) AS s FROM f GROUP BY 1, 2),
@@ -636,29 +638,28 @@ def copy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploration(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(requests, views, slides) of one run per customer: views and requests alternate, from orders."""
-    o = load(spark, sf_dir, "orders").selectExpr("o_custkey AS run_id", "o_orderkey AS k")
-    boxes = ("k * 7 % 20000 AS x", "k * 13 % 15000 AS y", "500 + k * 31 % 9000 AS w", "500 + k * 97 % 7000 AS h")
-    views_ = o.where("k % 2 = 0").selectExpr("run_id", "k AS view_seq", *boxes)
-    requests = o.where("k % 2 = 1").selectExpr("run_id", "k AS seq", "k * 3 % 1000 AS n0", "k * 5 % 1000 AS n1", "k * 11 % 1000 AS n2", "k * 17 % 1000 AS n3", "k * 3 % 1500 - 700 AS dx", "k * 5 % 1500 - 700 AS dy", "CASE k % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' ELSE 'odd' END AS quality")
+    """(requests, views, slides) of one run per customer: every order is a view, and a request made just before it."""
+    o = load(spark, sf_dir, "orders").selectExpr("o_custkey AS run_id", "o_orderkey * 10 AS view_seq", "o_orderkey * 10 - 5 AS seq")
+    views_ = o.selectExpr("run_id", "view_seq", "view_seq * 7 % 20000 AS x", "view_seq * 13 % 15000 AS y", "500 + view_seq * 31 % 9000 AS w", "500 + view_seq * 97 % 7000 AS h")
+    requests = o.selectExpr("run_id", "seq", "seq * 3 % 1000 AS n0", "seq * 7 % 1000 AS n1", "seq * 11 % 1000 AS n2", "seq * 17 % 1000 AS n3", "seq * 3 % 1500 - 700 AS dx", "seq * 7 % 1500 - 700 AS dy", "CASE seq % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' ELSE 'odd' END AS quality")
     slides = o.select("run_id").distinct().selectExpr("run_id", "40000 AS base_w", "30000 AS base_h", "0.25D AS mpp", "40.0D AS objective", "array(1D, 2D, 4D, 16D) AS downsamples")
     return requests, views_, slides
 
 
-SESSION = """o AS (SELECT o_custkey AS run_id, o_orderkey AS k FROM orders),
-vw AS (SELECT run_id, k AS view_seq, k * 7 % 20000 AS x, k * 13 % 15000 AS y, 500 + k * 31 % 9000 AS w, 500 + k * 97 % 7000 AS h FROM o WHERE k % 2 = 0),
-rq AS (SELECT r.run_id, r.k AS seq, max(v.view_seq) AS view_seq FROM o r LEFT JOIN vw v ON v.run_id = r.run_id AND v.view_seq < r.k WHERE r.k % 2 = 1 GROUP BY 1, 2),
+SESSION = """o AS (SELECT o_custkey AS run_id, o_orderkey * 10 AS view_seq, o_orderkey * 10 - 5 AS seq FROM orders),
+vw AS (SELECT run_id, view_seq, view_seq * 7 % 20000 AS x, view_seq * 13 % 15000 AS y, 500 + view_seq * 31 % 9000 AS w, 500 + view_seq * 97 % 7000 AS h FROM o),
+rq AS (SELECT r.run_id, r.seq, max(v.view_seq) AS view_seq FROM o r LEFT JOIN vw v ON v.run_id = r.run_id AND v.view_seq < r.seq GROUP BY 1, 2),
 cur AS (SELECT rq.run_id, seq, view_seq, x, y, w, h FROM rq JOIN vw USING (run_id, view_seq))"""
 
 
 @query(f"""WITH {SESSION} SELECT run_id, seq AS view_seq, greatest(least(x + {RE.format("greatest(least(seq * 3 % 1500 - 700, 999), -999) / 999.0 * w")}, 40000 - w), 0) AS x,
-  greatest(least(y + {RE.format("greatest(least(seq * 5 % 1500 - 700, 999), -999) / 999.0 * h")}, 30000 - h), 0) AS y, w, h FROM cur""")
+  greatest(least(y + {RE.format("greatest(least(seq * 7 % 1500 - 700, 999), -999) / 999.0 * h")}, 30000 - h), 0) AS y, w, h FROM cur""")
 def tool_pan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.pan(*exploration(spark, sf_dir))
 
 
 @query(f"""WITH {SESSION}, t AS (SELECT rq.run_id, seq, rq.view_seq, x, y, w, h, CASE seq % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'bad' ELSE 'odd' END AS quality,
-  (seq * 3 % 1000 + seq * 11 % 1000) / 2.0 AS px, (seq * 5 % 1000 + seq * 17 % 1000) / 2.0 AS py FROM rq LEFT JOIN vw USING (run_id, view_seq)),
+  (seq * 3 % 1000 + seq * 11 % 1000) / 2.0 AS px, (seq * 7 % 1000 + seq * 17 % 1000) / 2.0 AS py FROM rq LEFT JOIN vw USING (run_id, view_seq)),
 n AS (SELECT *, row_number() OVER (PARTITION BY run_id, quality ORDER BY seq) AS i FROM t WHERE quality <> 'odd' AND view_seq IS NOT NULL)
 SELECT run_id, seq, quality, true AS ok, i AS tile_idx, NULL AS reason, greatest(least(x + {RE.format("px / 999.0 * w")} - 512, 40000 - 1024), 0) AS bx, greatest(least(y + {RE.format("py / 999.0 * h")} - 512, 30000 - 1024), 0) AS by FROM n
 UNION ALL SELECT run_id, seq, quality, false, NULL, CASE WHEN view_seq IS NULL THEN 'no_current_view' ELSE 'invalid_quality' END, NULL, NULL FROM t WHERE quality = 'odd' OR view_seq IS NULL""")
@@ -666,14 +667,14 @@ def tool_save_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.save_tile(*exploration(spark, sf_dir)).select("run_id", "seq", "quality", "ok", "tile_idx", "reason", F.col("bbox.x").alias("bx"), F.col("bbox.y").alias("by"))
 
 
-@query(f"""WITH {SESSION}, c AS (SELECT run_id, view_seq, k AS rank, view_seq * 10 + k AS id, (view_seq * 83 + k * 331) % 1000 AS nx, (view_seq * 131 + k * 577) % 1000 AS ny FROM vw, unnest(range(1, 4)) t(k) WHERE view_seq % 5 <> 0),
-p AS (SELECT rq.run_id, seq, view_seq, (seq * 3 % 1000 + seq * 11 % 1000) / 2.0 AS px, (seq * 5 % 1000 + seq * 17 % 1000) / 2.0 AS py FROM rq),
+@query(f"""WITH {SESSION}, c AS (SELECT run_id, view_seq, k AS rank, view_seq * 10 + k AS id, (view_seq * 83 + k * 331) % 1000 AS nx, (view_seq * 131 + k * 577) % 1000 AS ny FROM vw, unnest(range(1, 4)) t(k)),
+p AS (SELECT rq.run_id, seq, view_seq, (seq * 3 % 1000 + seq * 11 % 1000) / 2.0 AS px, (seq * 7 % 1000 + seq * 17 % 1000) / 2.0 AS py FROM rq),
 d AS (SELECT p.*, c.rank, c.nx, c.ny, sqrt((px - nx) ** 2 + (py - ny) ** 2) AS dist FROM p LEFT JOIN c USING (run_id, view_seq)), b AS (SELECT *, row_number() OVER (PARTITION BY run_id, seq ORDER BY dist, rank) AS i FROM d)
 SELECT b.run_id, seq, coalesce(dist <= 170, false) AS ok, CASE WHEN b.view_seq IS NULL THEN 'no_current_view' WHEN dist IS NULL THEN 'no_roi_candidates' WHEN dist > 170 THEN 'roi_outside_topk_candidates' END AS reason,
   CASE WHEN dist <= 170 THEN b.rank END AS candidate_rank, CASE WHEN dist <= 170 THEN greatest(least(x + {RE.format("nx / 999.0 * w")} - 750, 40000 - 1500), 0) END AS bx FROM b LEFT JOIN vw USING (run_id, view_seq) WHERE i = 1""")
 def tool_mark_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests, views_, slides = exploration(spark, sf_dir)
-    found = views_.where("view_seq % 5 <> 0").select("run_id", "view_seq", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 2, 3)])).alias("rank"))
+    found = views_.select("run_id", "view_seq", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (1, 2, 3)])).alias("rank"))
     found = found.selectExpr("run_id", "view_seq", "rank", "view_seq * 10 + rank AS id", "(view_seq * 83 + rank * 331) % 1000 AS nx", "(view_seq * 131 + rank * 577) % 1000 AS ny", "1.0D / rank AS score")
     return tools.mark_roi(requests, views_, slides, found).select("run_id", "seq", "ok", "reason", "candidate_rank", F.col("bbox.x").alias("bx"))
 
@@ -713,12 +714,13 @@ def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("n_nationkey", maps.get(F.col("m"), "phase").alias("phase"), maps.get(F.col("m"), "extra").alias("extra"), "id", maps.rejection(id=F.col("id").isNotNull(), parity=k % 2 == 0).alias("reason"))
 
 
-@query("""WITH s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id FROM events), a AS (SELECT run_id, pos, CASE WHEN run_id % 5 = 0 AND pos = 3 THEN -1 ELSE event_id END AS k FROM s WHERE pos <= 10),
-b AS (SELECT run_id, pos, event_id AS k FROM s WHERE run_id % 7 <> 0 OR pos < 8) SELECT coalesce(a.run_id, b.run_id) AS run_id, bool_or(a.k IS NOT NULL AND a.k IS DISTINCT FROM b.k) AS rebuild FROM a FULL JOIN b ON a.run_id = b.run_id AND a.pos = b.pos GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_id FROM events), a AS (SELECT run_id, pos, CASE WHEN run_id % 5 = 0 AND pos = 3 THEN -1 ELSE event_id END AS k FROM s)
+SELECT a.run_id, bool_or(a.k IS DISTINCT FROM s.event_id) AS rebuild FROM a JOIN s ON a.run_id = s.run_id AND a.pos = s.pos GROUP BY 1""")
 def rebuild_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth run shows another third step than it has."""
     s = ledger.numbered(views.steps(spark, sf_dir), ["run_id"], ["ts", "event_id"], "pos")
-    shown = s.where("pos <= 10").select("run_id", "pos", F.when((F.col("run_id") % 5 == 0) & (F.col("pos") == 3), -1).otherwise(F.col("event_id")).alias("k"))
-    return feeds.rebuild_needed(shown, s.where("run_id % 7 <> 0 OR pos < 8").select("run_id", "pos", F.col("event_id").alias("k")), "run_id", "pos", "k")
+    shown = s.select("run_id", "pos", F.when((F.col("run_id") % 5 == 0) & (F.col("pos") == 3), -1).otherwise(F.col("event_id")).alias("k"))
+    return feeds.rebuild_needed(shown, s.select("run_id", "pos", F.col("event_id").alias("k")), "run_id", "pos", "k")
 
 
 @query("""WITH p AS (SELECT page_id, '/data/runs/' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '/../x' WHEN page_id % 3 = 1 THEN '/reports/a' ELSE '/b' END AS path FROM pages)
