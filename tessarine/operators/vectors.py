@@ -76,6 +76,7 @@ def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_val
     """
     slim = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec"))
     n, head = slim.count(), slim.first()  # a count reads no vectors
+    slim.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     schema = "id bigint, other bigint, dist double"
     if head is None or n * len(head.vec) <= most_values:
         all_rows = slim.toArrow()
