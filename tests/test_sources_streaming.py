@@ -268,3 +268,20 @@ def test_progress_and_cancel(spark, tmp_path):
     jobs.cancel(spark, "run-1")
     thread.join(30)
     assert failed and not thread.is_alive()
+
+
+def test_vector_index_recall(spark, tmp_path):
+    """By default an index reads fewer lists than it has and finds 90 % of the nearest, of vectors without clusters too."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 4
+    for name, x in (("loose", rng.normal(size=(3000, 16))), ("clustered", centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)))):
+        df = spark.createDataFrame([(i, "good", f"p{i}", v.tolist()) for i, v in enumerate(x)], "tile_id long, label string, path string, vec array<double>")
+        tiles.build_index(df, f"{tmp_path}/{name}", lists=64, space="l2")
+        probes = spark.read.schema(tiles.INDEX_META).json(f"{tmp_path}/{name}/meta").first().probes
+        assert probes[0] <= probes[1] and probes[0] < 64
+        queries = x[rng.integers(0, 3000, 12)] + rng.normal(size=(12, 16)) * 0.5
+        found = 0
+        for q in queries:
+            got = [r.tile_id for r in tiles.search_index(spark, f"{tmp_path}/{name}", q.tolist(), 10).collect()]
+            found += len(set(got) & set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist()))
+        assert found >= 0.9 * 120, name
