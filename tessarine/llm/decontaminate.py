@@ -143,13 +143,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     rows = spread(docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text")))
     hits = rows.mapInArrow(lambda it: _probe(it, bits_of.value, sizes, bits), f"rk bigint, doc {kind}, pos int, seed bigint")
     hits = cut(hits, "hits")
-    which = cut(own.select("seed", "item", "n_words", "size").distinct(), "which")
+    which = cut(own.groupBy("seed", "item", "n_words", "size").agg(F.count("*").alias("times")), "which")
     # a pair's seeds; a repeated row gives each place once
-    pairs = cut(hits.join(which, "seed").select("rk", "doc", "item", "n_words", "size", "pos", "seed").distinct(), "pairs")
-    # the words that shared seeds can cover at most bound the coverage
-    enough = pairs.groupBy("rk", "doc", "item", "n_words", "size").agg(F.collect_list(F.struct("pos", "seed")).alias("doc_seeds"), F.count_distinct("seed").alias("kinds"))
+    pairs = cut(hits.join(which, "seed").select("rk", "doc", "item", "n_words", "size", "pos", "seed", "times").distinct(), "pairs")
+    # the words that shared seeds can cover at most, at all their places in the item, bound the coverage
+    enough = pairs.groupBy("rk", "doc", "item", "n_words", "size").agg(F.collect_list(F.struct("pos", "seed")).alias("doc_seeds"), F.collect_set(F.struct("seed", "times")).alias("kinds"))
+    places = F.aggregate("kinds", F.lit(0).cast("bigint"), lambda s, x: s + x["times"])
     items = cut(own.groupBy("item").agg(F.collect_list(F.struct("pos", "seed")).alias("item_seeds")), "item_seeds")
-    cand = enough.where(F.col("kinds") * F.col("size") >= floor * F.col("n_words")).drop("kinds").join(items, "item")
+    cand = enough.where(places * F.col("size") >= floor * F.col("n_words")).drop("kinds").join(items, "item")
     schema = f"rk bigint, doc {kind}, item {ikind}, coverage double, tiles bigint"
     cand = cand.select("rk", "doc", "item", "n_words", "size", "doc_seeds", "item_seeds")
     return cand.mapInArrow(_tile, schema).where(F.col("coverage") >= floor)

@@ -101,3 +101,13 @@ def test_query_whole_table(spark):
             if len(covered) >= 0.6 * len(b):
                 want.setdefault(r.doc_id, []).append(i)
     assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_items_that_repeat_their_phrases(spark):
+    """Few distinct seeds cover an item of repeated phrases; a copy of it, or of a part of it, has the coverage of its words."""
+    phrase = " ".join(f"w{i}" for i in range(10))
+    item = " ".join([phrase] * 9)
+    docs = frame(spark, [(1, f"{prose(70, 40)} {item} {prose(71, 40)}"), (2, f"{prose(72, 40)} {phrase} {prose(73, 40)}"), (3, prose(74, 80))])
+    bench = frame(spark, [(1, item)], "item_id long, text string")
+    assert {(r.doc, r.coverage) for r in d.contaminated(docs, bench).collect()} == {(1, 1.0)}
+    assert sorted(r.doc_id for r in d.decontaminate(docs, bench).collect()) == [2, 3]
