@@ -2,10 +2,11 @@
 
 Templates are short notices of known licenses, each with key phrases that a file must contain. Their words form the
 index: word -> (template, position). One pass over all documents counts in how many each index word occurs, and gives
-its IDF. The second pass takes, for each document, the `rare` license words it holds with the highest IDF, looks their
-places up in the postings, and intersects by relative position: a place at word p of the document and q of a template
-votes for the template starting at word p - q. A start with votes for at least `share` of the IDF mass of the
-template's looked-up words is a candidate, and is a finding if all key phrases stand within the notice's span around it.
+its IDF. The second pass looks up each template whose key phrases a document holds: around every place of its first key
+phrase, words are intersected by relative position, a place at word p of the document and q of the template voting for the
+template starting at word p - q. Of each start the `rare` words with the highest IDF that the template shares with the
+notice's span there are looked up; with votes for at least `share` of their IDF mass the start is a candidate, and is a
+finding if all key phrases stand within the span. What else the document holds takes no template's vote.
 
 Base labels come from exact phrases: places where the words of a phrase stand consecutively. Both passes are maps over
 Arrow batches of whole texts; what is gathered are counts of the index words, whose number the templates bound.
@@ -66,6 +67,7 @@ class Index:
             for q, w in enumerate(words):
                 self.postings[at[w]].append((t, q))
         seq = lambda phrase: np.array([hash_word(w) for w in words_of(phrase)], np.uint64)
+        self.own = [np.array([at[w] for w in words], np.int64) for words in texts]
         self.musts = [[seq(k) for k in templates[n][1]] for n in self.names]
         self.base = [(seq(phrase), label) for phrase, label in base.items()]
 
@@ -112,23 +114,32 @@ def idf(counts: np.ndarray, n: int) -> np.ndarray:
 
 def judge(h: np.ndarray, known: np.ndarray, index: Index, weight: np.ndarray, rare: int, share: float) -> dict[str, float]:
     """label -> share of IDF mass, for one document's word hashes and the vocabulary numbers of its words."""
-    where = np.flatnonzero(known >= 0)
-    own = np.unique(known[where])
-    best = own[np.lexsort((own, -weight[own]))][:rare]
-    votes: dict[tuple[int, int], float] = {}
-    for p in where[np.isin(known[where], best)].tolist():
-        for t, q in index.postings[known[p]]:
-            votes[t, p - q] = votes.get((t, p - q), 0.0) + weight[known[p]]
     out: dict[str, float] = {}
     none = np.zeros(len(h), np.int8)
-    for (t, start), mass in votes.items():
-        full = sum(weight[w] for w in best.tolist() for x, _ in index.postings[w] if x == t)
-        if mass < share * full:
+    for t, (own, length) in enumerate(zip(index.own, index.lengths, strict=True)):
+        at = [places(h, must, none) for must in index.musts[t]]
+        if not all(map(len, at)):
             continue
-        a, b = max(0, start), max(0, start) + index.lengths[t] + 2
-        if all(len(places(h[a:b], must, none[a:b])) for must in index.musts[t]):
-            total = sum(weight[i] for i, posts in enumerate(index.postings) for x, _ in posts if x == t)
-            out[index.names[t]] = max(out.get(index.names[t], 0.0), min(1.0, mass / total))
+        span = length + 2
+        kinds, times = np.unique(own, return_counts=True)
+        order = np.lexsort((kinds, -weight[kinds]))
+        kinds, times = kinds[order], times[order]
+        total = float((weight[kinds] * times).sum())
+        padded = np.concatenate([np.full(length, -1), known, np.full(span, -1)])
+        for first in np.array_split(at[0], len(at[0]) // 512 + 1):
+            start = np.unique(np.concatenate([(first[:, None] - np.arange(span)).ravel(), np.arange(1 - length, 0)]))
+            start = start[start > -length]
+            here = np.maximum(start, 0)
+            there = (padded[here[:, None] + length + np.arange(span)][:, :, None] == kinds).any(1)
+            looked = there & (np.cumsum(there, 1) <= rare)
+            full = (looked * (weight[kinds] * times)).sum(1)
+            votes = padded[start[:, None] + length + np.arange(length)] == own
+            mass = (votes * looked[:, np.argsort(kinds)[np.searchsorted(np.sort(kinds), own)]] * weight[own]).sum(1)
+            for i in np.flatnonzero((mass > 0) & (mass >= share * full)).tolist():
+                a, b = int(here[i]), int(here[i]) + span
+                score = min(1.0, float(mass[i]) / total)
+                if score > out.get(index.names[t], 0.0) and all(((p >= a) & (p + len(must) <= b)).any() for p, must in zip(at, index.musts[t], strict=True)):
+                    out[index.names[t]] = score
     return out
 
 

@@ -55,3 +55,14 @@ def test_query_whole_table(spark, sf):
         n, m, a, b, labels = plain(rows[r.doc_id])
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, m, a, b, ",".join(labels))
         assert set(labels) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+def test_notices_of_long_files_keep_their_votes(spark):
+    """A file of all notices, and one of a notice among rarer index words, keep the labels that each notice earns alone."""
+    notices = {label: notice for label, (notice, _) in licenses.TEMPLATES.items()}
+    rare = "forms domain form binary attribution creative commons free international lesser into code"
+    rows = [(i, notice) for i, notice in enumerate(notices.values())]
+    rows += [(100, f" {prose(4, 20)} ".join(notices.values())), (101, f"{rare} {prose(5, 40)} {notices['gpl']} {prose(6, 40)}")]
+    rows += [(200 + i, "a gnu with the general public") for i in range(80)] + [(300, " ".join([notices["bsd"]] * 700))]
+    got = {r.key: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(label in got[i] for i, label in enumerate(notices))
+    assert got[100] == sorted(notices) and got[101] == ["gpl"] and got[200] == [] and got[300] == ["bsd"]
