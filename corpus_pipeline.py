@@ -46,8 +46,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample by calibrated probabilities, with mix_topic, mix_tokens, mix_weight and mix_probability."""
-    return mixing.mix(docs, keep_columns=True)
+    """The sample by calibrated probabilities, with mix_topic, mix_tokens, mix_weight, mix_probability and mix_repeats (how often a row is to be taken for the sample to meet its targets)."""
+    return mixing.mix(docs, keep_columns=True, repeats=True)
 
 
 STAGES = [

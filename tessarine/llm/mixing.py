@@ -4,8 +4,10 @@ Tokens (words of a text) are summed per cell of source, language and topic. Raki
 along each dimension meet its targets in turn, for a fixed number of rounds; the table of cells is the only
 thing that the rounds work on, and stays a distributed table as nothing bounds the number of sources. A document is kept with
 probability min(1, rate * fitted / actual tokens of its cell), decided by a hash of its id: any rerun gives the same
-sample, and any executor may decide any document alone. The weight that raking gives a token of the cell is returned too,
-so that repeats can make up for cells whose probability is cut off at 1.
+sample, and any executor may decide any document alone. The weight that raking gives a token of the cell is returned too.
+With `repeats` each sampled row also says how often it is to be taken: floor(rate * weight), and once more where the hash is
+below the remainder. Cells whose probability is cut off at 1 are made up for by that, so tokens times repeats meet the
+targets; the rows are the same as without.
 
 Targets are `uniform` over the values that occur, or `tempered` (shares to the power 1/2). The topic is read off the text:
 licence notices, contacts, lists, short and long prose.
@@ -70,8 +72,8 @@ def rake(cells: DataFrame, targets: tuple[tuple[str, str], ...] = TARGETS, round
     return out.select(*[d for d, _ in targets], "tokens", "fitted")
 
 
-def mix(docs: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text", targets: tuple[tuple[str, str], ...] = TARGETS, rounds: int = ROUNDS, keep_columns: bool = False) -> DataFrame:
-    """The sampled rows: key, dimensions, tokens, weight, probability; with keep_columns, all columns of docs (and the former four as mix_*)."""
+def mix(docs: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text", targets: tuple[tuple[str, str], ...] = TARGETS, rounds: int = ROUNDS, keep_columns: bool = False, repeats: bool = False) -> DataFrame:
+    """The sampled rows: key, dimensions, tokens, weight, probability, and repeats if asked for; with keep_columns, all columns of docs (and topic and what follows it as mix_*)."""
     dims = [d for d, _ in targets]
     named = {d: topic_of(F.col(text)) if d == "topic" else F.col(d) for d in dims}
     rows = docs.select(*([F.struct(*docs.columns).alias("row")] if keep_columns else []), F.col(key).alias("key"), *[c.alias(d) for d, c in named.items()], tokens_of(F.col(text)).alias("n_tokens"))
@@ -81,9 +83,12 @@ def mix(docs: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "t
     on = [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in dims]
     joined = rows.join(fitted, on, "inner").withColumn("probability", F.least(F.lit(1.0), rate * F.col("weight")))
     kept = joined.where(chance(F.col("key")) < F.col("probability"))
+    times = rate * F.col("weight")
+    kept = kept.withColumn("repeats", F.floor(times) + (chance(F.col("key")) < times - F.floor(times)).cast("bigint"))
+    more = ["repeats"] if repeats else []
     if keep_columns:
-        return kept.select("row.*", *[F.col(c).alias(f"mix_{n}") for c, n in (("topic", "topic"), ("n_tokens", "tokens"), ("weight", "weight"), ("probability", "probability"))])
-    return kept.select("key", *dims, "n_tokens", "weight", "probability")
+        return kept.select("row.*", *[F.col(c).alias(f"mix_{n}") for c, n in (("topic", "topic"), ("n_tokens", "tokens"), ("weight", "weight"), ("probability", "probability"), *[(c, c) for c in more])])
+    return kept.select("key", *dims, "n_tokens", "weight", "probability", *more)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,17 @@ def test_columns_pass_through_and_empty_table(spark):
     assert out.columns == [*docs.columns, "mix_topic", "mix_tokens", "mix_weight", "mix_probability"]
     assert out.count() == mixing.mix(docs).count()
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_sample_meets_the_targets(spark):
+    """With repeats, the tokens of the sample itself have the marginals of the targets; at a capped probability alone they have not."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mixing.mix(docs, repeats=True).toPandas()
+    all_tokens = docs.select("lang", mixing.tokens_of(docs.text).alias("n")).groupBy("lang").sum("n").toPandas().set_index("lang")["sum(n)"]
+    roots = np.sqrt(all_tokens) / np.sqrt(all_tokens).sum()
+    assert (rows.probability == 1).any() and (rows.repeats >= 1).all()
+    taken = rows.n_tokens * rows.repeats
+    for d, goal in (("topic", 1 / rows.topic.nunique()), ("lang", roots), ("source", 1 / rows.source.nunique())):
+        share = taken.groupby(rows[d]).sum() / taken.sum()
+        assert (share - goal).abs().max() < (0.03 if d != "source" else 0.02), d
+    assert abs(taken.sum() / all_tokens.sum() - mixing.RATE) < 0.03

@@ -114,3 +114,9 @@ def test_stages_on_odd_rows_and_empty_tables(spark, index):
     if name in ("quality classifier", "line dedup", "benchmark decontamination"):
         assert 10 in kept  # plain prose stays
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_last_stage_has_repeats(staged):
+    before, after = staged["mixing sources to target weights"]
+    assert after.columns == [*before.columns, "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_repeats"]
+    assert all(r.mix_repeats in (int(0.5 * r.mix_weight), int(0.5 * r.mix_weight) + 1) and r.mix_repeats >= 1 for r in after.collect())
