@@ -26,18 +26,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints over distinct five-word shingles are linked by 5 of 64 bits or fewer, that is an estimated cosine of 0.97 and more."""
+    """One document of each group whose fingerprints over distinct five-word shingles are linked by 5 of 64 bits or fewer, that is an estimated cosine of 0.97 and more. Null ids and ids of several texts are as many documents as they have texts."""
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = simhash.near_duplicates(docs, shingle=5, radius=5, distinct=True)
-    keys = cut(found.where(F.col("key").eqNullSafe(F.col("component"))).select("key").distinct(), "kept")
-    # of rows that share an id, the one of the smallest text hash stays
-    first = cut(rows.groupBy("doc_id").agg(F.min("__row").alias("__first"), F.count("*").alias("__n")).where("__n > 1"), "repeated")
-    kept = rows.join(keys, rows["doc_id"].eqNullSafe(keys["key"]), "left_semi")
-    if first.isEmpty():
+    repeated = cut(rows.groupBy("doc_id").agg(F.count("*").alias("__n"), (F.min("__row") != F.max("__row")).alias("__shared")).where("__n > 1 and doc_id is not null"), "repeated")
+    shared = repeated.where("__shared").select(F.col("doc_id").alias("__id"))
+    # a row is known by its id and text hash; a group keeps the row of the smallest id, of ids of one text if there are any, of null ids last
+    if shared.isEmpty():
+        marked = rows.withColumn("__id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    else:
+        marked = rows.join(shared, rows["doc_id"] == shared["__id"], "left")
+    rank = F.when(F.col("doc_id").isNull(), 2).when(F.col("__id").isNotNull(), 1).otherwise(0)
+    marked = marked.withColumn("__key", F.struct(rank.alias("rank"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+    found = simhash.near_duplicates(marked, key="__key", shingle=5, radius=5, distinct=True)
+    keys = cut(found.where(F.col("key") == F.col("component")).select(F.col("key.id").alias("__kid"), F.col("key.row").alias("__krow")).distinct(), "kept")
+    kept = rows.join(keys, (rows["__row"] == keys["__krow"]) & rows["doc_id"].eqNullSafe(keys["__kid"]), "left_semi")
+    # copies of a row, null ids among them
+    if repeated.isEmpty() and rows.where("doc_id is null").isEmpty():
         return kept.select(*docs.columns)
-    first = first.select(F.col("doc_id").alias("__id"), "__first")
-    kept = kept.join(first, kept["doc_id"].eqNullSafe(first["__id"]), "left").where("__first is null or __first = __row")
-    return kept.drop("__id", "__first").dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

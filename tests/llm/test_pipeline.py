@@ -116,6 +116,18 @@ def test_stages_on_odd_rows_and_empty_tables(spark, index):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_dup_stage_keeps_a_row_of_each_group(spark):
+    """Texts that are not linked all stay, whether their ids are null, shared or their own; of linked ones one row stays."""
+    from tests.llm.fixtures import prose
+
+    t = [prose(900 + i, 60) for i in range(7)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (5, t[2]), (5, t[3]), (5, t[3]), (6, t[3]), (7, t[4]), (None, t[4]), (8, t[4]), (5, t[5]), (4, t[5]), (None, t[6])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    out = cp.near_dup_stage(spark, spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in rows], schema), SF)
+    want = [(None, t[0]), (None, t[1]), (5, t[2]), (6, t[3]), (7, t[4]), (4, t[5]), (None, t[6])]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_last_stage_has_repeats(staged):
     before, after = staged["mixing sources to target weights"]
     assert after.columns == [*before.columns, "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_repeats"]
