@@ -1,4 +1,4 @@
-"""Tables, cut points and Arrow limits shared by the training-data operators."""
+"""Tables, cut points, free column names and Arrow limits shared by the training-data operators."""
 
 from __future__ import annotations
 
@@ -13,14 +13,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a folder of this machine serves a local master; a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessarine-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that df has a column of already (names are compared without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

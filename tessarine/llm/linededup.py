@@ -2,20 +2,23 @@
 
 A line's words are masked first (words with a digit, and addresses, become <*>). The tree has a fixed
 depth: the number of words, then the first `depth` words; a leaf holds the lines that agree on these. Within a leaf a
-word stays part of the template where the same word stands at the same place in at least `min_docs` lines of
-different documents, and becomes a variable field otherwise. A line follows its template if at least `share` of the
-words behind the leading ones are constant. A template that recurs in at least `min_docs` documents is dropped from all
-documents but the one with the smallest doc_id, so the corpus loses no content. The usual tree updates its leaves greedily
+word stays part of the template where the same word stands at the same place in at least `min_docs` of the leaf's lines, and in at least the part
+`common` of them, and becomes a variable field otherwise: a field whose values recur stays a field, however large the corpus grows. A line
+follows its template if at least `share` of the words behind the leading ones are constant. A template that recurs in at least `min_docs` documents is
+dropped from all documents but the one with the smallest doc_id; so is a line that recurs word for word in at least two documents, whether
+or not it follows a template. So the corpus loses no content. The usual tree updates its leaves greedily
 in the order of arrival; this rule counts instead, so its result depends on no order and its groups need no one task.
 
 Everything is grouped by hashes with partial sums, or joined with tables of one row per key on plain exchanges, which
 AQE splits where a leaf, line or template holds a large part of all rows. Only lines of leaves that recur travel with
-their text, and words are exploded for distinct lines only.
+their text, and words are exploded for distinct lines only. Lines are known by 128-bit hashes, documents by doc_id and a hash of their text, templates
+by their leaf and the sum of their places' hashes.
 
 Defined results: null texts stay null and have no lines; lines of fewer than `min_words` words always stay; a document
-whose every line is dropped stays with an empty text; rows repeated with the same doc_id and text are one document;
-where all doc_ids of a template are null, all its lines stay; empty tables give empty tables; other columns pass
-through unread, whatever their names.
+whose every line is dropped stays with an empty text; a line that a document repeats goes or stays at all its places; rows repeated with the same doc_id and
+text are one document; of documents that share the smallest doc_id all keep the line; where all doc_ids of a template or line are null, all its lines stay; a very long
+text is read whole and rewritten in one pass over its lines; empty tables give empty tables; other columns pass
+through unread, whatever their names (with counts, n_lines and n_dropped get underscores behind them where docs have such columns).
 """
 
 from __future__ import annotations
@@ -25,18 +28,24 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import arrow_limits, cut, spread, table
+from ._io import arrow_limits, cut, free, spread, table
 
 #: words with a digit and addresses are variable fields from the start
 _FIELD = re.compile(r"[0-9@]|://")
 _HINT = re.compile(r"[0-9@:]")
+#: lines that leave the Python worker in one batch, so that a long document's lines are never all in one
+_ROWS = 20_000
+
+
+def words_of(line: str) -> list[str]:
+    return line.lower().split()
 
 
 def masked(line: str) -> list[str]:
-    words = line.lower().split()
+    words = words_of(line)
     if _HINT.search(line):
         return ["<*>" if _FIELD.search(w) else w for w in words]
     return words
@@ -46,75 +55,105 @@ def leaf_of(words: list[str], depth: int) -> int:
     return xxhash.xxh64_intdigest(f"{len(words)} " + " ".join(words[:depth])) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int, leaves_only: bool) -> Iterator[pa.RecordBatch]:
+def _leaves(batches: Iterator[pa.RecordBatch], depth: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """The leaves of each document, once each."""
+    for batch in batches:
+        out: list[int] = []
+        for text in batch.column(2):
+            seen = set()
+            for line in (text.as_py() or "").split("\n"):
+                words = masked(line)
+                if len(words) >= min_words:
+                    seen.add(leaf_of(words, depth))
+            out += seen
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["leaf"])
+
+
+def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int) -> Iterator[pa.RecordBatch]:
+    """(rk, doc, n, leaf, line, lid, same, once): masked line and its hash, hash of the words as they are, and 1 at the document's first line of that lid."""
     for batch in batches:
-        keys, ids, texts = (batch.column(i).to_pylist() for i in range(3))
+        keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        types = [pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
+        names = ["rk", "doc", "n", "leaf", "line", "lid", "same", "once"]
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)  # noqa: B023
+
         out: list[tuple] = []
-        for rk, doc, text in zip(keys, ids, texts, strict=True):
+        for rk, doc, text in zip(keys, ids, batch.column(2), strict=True):
             seen: set = set()
-            for n, line in enumerate((text or "").split("\n")):
+            for n, line in enumerate((text.as_py() or "").split("\n")):
                 words = masked(line)
                 if len(words) < min_words:
                     continue
-                leaf = leaf_of(words, depth)
-                if leaves_only:
-                    if leaf not in seen:
-                        seen.add(leaf)
-                        out.append((leaf,))
-                else:
-                    joined = " ".join(words)
-                    out.append((rk, doc, n, leaf, joined, int(joined not in seen)))
-                    seen.add(joined)
-        columns = list(zip(*out, strict=True)) if out else [()] * (1 if leaves_only else 6)
-        if leaves_only:
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())], ["leaf"])
-        else:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], batch.schema.field(1).type), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.int64())],
-                ["rk", "doc", "n", "leaf", "line", "once"],
-            )
-
-
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, min_words: int = 5, min_docs: int = 3, share: float = 0.6) -> DataFrame:
-    """(rk, gone): for each document that loses lines, its row key xxhash64(key, text) and the numbers of its lines to drop."""
+                joined = " ".join(words)
+                lid = xxhash.xxh128_digest(joined)
+                out.append((rk, doc, n, leaf_of(words, depth), joined, lid, xxhash.xxh128_digest(" ".join(words_of(line))), int(lid not in seen)))
+                seen.add(lid)
+                if len(out) >= _ROWS:
+                    yield done(out)
+                    out = []
+        yield done(out)
+
+
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, min_words: int = 5, min_docs: int = 3, share: float = 0.6, common: float = 0.05) -> DataFrame:
+    """(rk, doc, gone): for each document that loses lines, its row key xxhash64(key, text), its key, and the sorted numbers of its lines to drop."""
     arrow_limits(docs.sparkSession)
     rows = spread(docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text")))
     kind = docs.schema[key].dataType.simpleString()
-    leaves = rows.mapInArrow(lambda it: _lines(it, depth, min_words, True), "leaf bigint")
-    often = cut(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    lines = rows.mapInArrow(lambda it: _lines(it, depth, min_words, False), f"rk bigint, doc {kind}, n int, leaf bigint, line string, once bigint")
-    lines = lines.join(often, "leaf").withColumn("lid", F.xxhash64("leaf", "line"))
-    lines = cut(lines, "lines")
+    leaves = rows.mapInArrow(lambda it: _leaves(it, depth, min_words), "leaf bigint")
+    often = cut(leaves.groupBy("leaf").count().where("count > 1").select("leaf"), "leaves")
+    lines = rows.mapInArrow(lambda it: _lines(it, depth, min_words), f"rk bigint, doc {kind}, n int, leaf bigint, line string, lid binary, same binary, once bigint")
+    lines = cut(lines.join(often, "leaf"), "lines")
     # constant words of each leaf, from distinct lines
     distinct = lines.groupBy("lid").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.sum("once").alias("docs"))
     words = distinct.select("lid", "leaf", "docs", F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    words = cut(words.select("lid", "docs", "pos", F.xxhash64("leaf", "pos", "word").alias("place")), "words")
-    constant = cut(words.groupBy("place").agg(F.sum("docs").alias("all")).where(F.col("all") >= min_docs).select("place"), "constant")
+    words = cut(words.select("lid", "leaf", "docs", "pos", F.xxhash64("leaf", "pos", "word").alias("place")), "words")
+    size = words.groupBy("lid").agg(F.count("*").alias("words"))
+    whole = words.where("pos = 0").groupBy("leaf").agg(F.sum("docs").alias("whole"))
+    places = words.groupBy("place").agg(F.first("leaf").alias("leaf"), F.sum("docs").alias("all")).where(F.col("all") >= min_docs)
+    constant = cut(places.join(whole, "leaf").where(F.col("all") >= common * F.col("whole")).select("place"), "constant")
     kept = words.join(constant, "place").groupBy("lid").agg(
-        F.sum(F.col("place").cast("decimal(38,0)")).alias("total"), F.sum((F.col("pos") >= depth).cast("int")).alias("tail"), F.count("*").alias("kept")
+        F.first("leaf").alias("leaf"), F.sum(F.col("place").cast("decimal(38,0)")).alias("total"), F.sum((F.col("pos") >= depth).cast("int")).alias("tail")
     )
-    size = words.groupBy("lid").agg(F.count("*").alias("words"))
     follows = F.col("tail") >= share * F.greatest(F.col("words") - depth, F.lit(1))
-    template = cut(kept.join(size, "lid").where(follows).select("lid", F.xxhash64("total", "kept", "words").alias("template")), "template")
-    at = cut(lines.select("rk", "doc", "n", "lid").join(template, "lid").select("rk", "doc", "n", "template"), "at")
-    per_doc = at.groupBy("template", "rk").agg(F.min("doc").alias("doc"))
-    recurring = cut(per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("doc").alias("keeper")).where(F.col("docs") >= min_docs).select("template", "keeper"), "recurring")
-    gone = at.join(recurring, "template").where(~F.col("doc").eqNullSafe(F.col("keeper")))
-    return gone.groupBy("rk").agg(F.collect_set("n").alias("gone"))
+    template = cut(kept.join(size, "lid").where(follows).select("lid", F.struct("leaf", "total").alias("template")), "template")
+    at = lines.select("rk", "doc", "n", "lid").join(template, "lid").select("rk", "doc", "n", "template")
+    by_template = _gone(cut(at, "at"), "template", min_docs)
+    by_line = _gone(lines.select("rk", "doc", "n", "same"), "same", 2)
+    return by_template.union(by_line).groupBy("rk", "doc").agg(F.sort_array(F.collect_set("n")).alias("gone"))
+
+
+def _gone(at: DataFrame, group: str, least: int) -> DataFrame:
+    """(rk, doc, n) of lines whose group stands in at least `least` documents, but those of the group's smallest doc."""
+    per_doc = at.groupBy(group, "rk", "doc").agg(F.lit(1).alias("one"))
+    recurring = per_doc.groupBy(group).agg(F.count("*").alias("docs"), F.min("doc").alias("keeper")).where(F.col("docs") >= least).select(group, "keeper")
+    return at.join(cut(recurring, "recurring"), group).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("rk", "doc", "n")
+
+
+def without(parts: Column, gone: Column) -> Column:
+    """The parts but those of the sorted numbers `gone`: the runs between them, each copied once."""
+
+    def runs(x: Column) -> Column:
+        gaps = F.arrays_zip(F.concat(F.array(F.lit(-1)), x["gone"]).alias("a"), F.concat(x["gone"], F.array(F.size(x["parts"]))).alias("b"))
+        return F.flatten(F.transform(gaps, lambda g: F.slice(x["parts"], g["a"] + 2, g["b"] - g["a"] - 1)))
+
+    # a lambda's argument is computed once, whatever its body does with it
+    return F.transform(F.array(F.struct(parts.alias("parts"), gone.alias("gone"))), runs)[0]
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False, **how) -> DataFrame:
     """docs without the dropped lines; with counts, also n_lines and n_dropped (before and of the dropping)."""
+    rk, doc, dropped, n_lines, n_dropped = free(docs, "rk", "doc", "gone", "n_lines", "n_dropped")
     gone = dropped_lines(docs, key, text, **how)
-    names = docs.columns
-    rk, dropped = "__rk", "__gone"
-    joined = docs.withColumn(rk, F.xxhash64(key, text)).join(gone.select(F.col("rk").alias(rk), F.col("gone").alias(dropped)), rk, "left")
-    parts = F.split(F.col(text), "\n", -1)
-    rest = F.filter(parts, lambda _, i: ~F.array_contains(F.col(dropped), i))
-    new = F.when(F.col(dropped).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
-    out = [new.alias(text) if c == text else F.col(c) for c in names]
+    gone = gone.select(F.col("rk").alias(rk), F.col("doc").alias(doc), F.col("gone").alias(dropped))
+    joined = docs.join(gone, (F.xxhash64(docs[key], docs[text]) == gone[rk]) & docs[key].eqNullSafe(gone[doc]), "left")
+    parts = F.split(docs[text], "\n", -1)
+    new = F.when(F.col(dropped).isNull(), docs[text]).otherwise(F.array_join(without(parts, F.col(dropped)), "\n"))
+    out = [new.alias(text) if c == text else docs[c] for c in docs.columns]
     if counts:
-        out += [F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.coalesce(F.size(F.col(dropped)), F.lit(0)).alias("n_dropped")]
+        out += [F.when(docs[text].isNull(), 0).otherwise(F.size(parts)).alias(n_lines), F.coalesce(F.size(F.col(dropped)), F.lit(0)).alias(n_dropped)]
     return joined.select(*out)
 
 
@@ -126,17 +165,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rule by counts. White space of lines is ASCII there.
 ORACLE = r"""
 WITH p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-l AS (SELECT doc_id, i, list_transform(regexp_extract_all(lower(parts[i]), '[^\x09-\x0D\x1C-\x20]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS w FROM p, unnest(range(1, len(parts) + 1)) t(i)),
-n AS MATERIALIZED (SELECT doc_id, i, w, [CAST(len(w) AS VARCHAR), w[1], w[2], w[3]] AS leaf FROM l WHERE len(w) >= 5),
-often AS (SELECT leaf FROM n GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
-c AS MATERIALIZED (SELECT n.* FROM n JOIN often USING (leaf)),
+v AS (SELECT doc_id, i, regexp_extract_all(lower(parts[i]), '[^\x09-\x0D\x1C-\x20]+') AS v FROM p, unnest(range(1, len(parts) + 1)) t(i)),
+l AS (SELECT doc_id, i, v, list_transform(v, lambda w: CASE WHEN regexp_matches(w, '[0-9@]|://') THEN '<*>' ELSE w END) AS w FROM v WHERE len(v) >= 5),
+c AS MATERIALIZED (SELECT doc_id, i, v, w, [CAST(len(w) AS VARCHAR), w[1], w[2], w[3]] AS leaf FROM l),
 u AS MATERIALIZED (SELECT leaf, w, count(DISTINCT doc_id) AS docs FROM c GROUP BY leaf, w),
-x AS MATERIALIZED (SELECT leaf, w, docs, k, w[k] AS word FROM u, unnest(range(1, len(w) + 1)) t(k)),
-fixed AS MATERIALIZED (SELECT leaf, k, word FROM x GROUP BY leaf, k, word HAVING sum(docs) >= 3),
+s AS MATERIALIZED (SELECT leaf, sum(docs) AS whole FROM u GROUP BY leaf HAVING sum(docs) >= 3),
+x AS MATERIALIZED (SELECT leaf, w, docs, whole, k, w[k] AS word FROM u JOIN s USING (leaf), unnest(range(1, len(w) + 1)) t(k)),
+fixed AS MATERIALIZED (SELECT leaf, k, word FROM x GROUP BY leaf, k, word HAVING sum(docs) >= greatest(3, 0.05 * any_value(whole))),
 t AS MATERIALIZED (SELECT leaf, w, list({'k': k, 'word': word} ORDER BY k) AS template, count(*) FILTER (WHERE k > 3) AS tail FROM x JOIN fixed USING (leaf, k, word) GROUP BY leaf, w),
 a AS MATERIALIZED (SELECT c.doc_id, c.i, c.leaf, t.template FROM c JOIN t USING (leaf, w) WHERE tail >= 0.6 * greatest(len(c.w) - 3, 1)),
 r AS (SELECT leaf, template, min(doc_id) AS keeper FROM a GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 3),
-g AS (SELECT doc_id, list(DISTINCT i) AS gone FROM a JOIN r USING (leaf, template) WHERE doc_id <> keeper GROUP BY doc_id)
+e AS (SELECT v, min(doc_id) AS keeper FROM c GROUP BY v HAVING count(DISTINCT doc_id) >= 2),
+o AS (SELECT doc_id, i FROM a JOIN r USING (leaf, template) WHERE doc_id <> keeper UNION SELECT doc_id, i FROM c JOIN e USING (v) WHERE doc_id <> keeper),
+g AS (SELECT doc_id, list(i) AS gone FROM o GROUP BY doc_id)
 SELECT p.doc_id, CAST(coalesce(len(parts), 0) AS INT) AS n_lines, CAST(coalesce(len(gone), 0) AS INT) AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(gone, i)), lambda i: parts[i]), chr(10)) END AS text
 FROM p LEFT JOIN g ON p.doc_id = g.doc_id

@@ -1,41 +1,41 @@
+import time
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tessarine.llm import linededup
-from tests.llm.fixtures import frame, odd_documents, prose, with_clashes
+from tests.llm.fixtures import WORDS, frame, odd_documents, prose, with_clashes
 
 
-def plain(rows, depth=3, min_words=5, min_docs=3, share=0.6):
+def plain(rows, depth=3, min_words=5, min_docs=3, share=0.6, common=0.05):
     """Texts after dropping, by loops over all lines."""
-    seen, leaves, count = set(), defaultdict(set), Counter()
+    seen, count, whole = set(), Counter(), Counter()
     lines = []
     for key, text in rows:
         rk = (key, text)
         for n, line in enumerate((text or "").split("\n")):
             words = linededup.masked(line)
             if len(words) >= min_words:
-                leaf = (len(words), *words[:depth])
-                leaves[leaf].add(rk)
-                lines.append((rk, key, n, leaf, tuple(words)))
-    docs_of = defaultdict(set)
-    for rk, _, _, leaf, words in lines:
-        if len(leaves[leaf]) >= min_docs and (rk, leaf, words) not in seen:
-            seen.add((rk, leaf, words))
-            docs_of[leaf, words].add(rk)
+                lines.append((rk, key, n, (len(words), *words[:depth]), tuple(words), tuple(line.lower().split())))
+    for rk, _, _, leaf, words, _ in lines:
+        if (rk, words) not in seen:
+            seen.add((rk, words))
+            whole[leaf] += 1
             for p, w in enumerate(words):
                 count[leaf, p, w] += 1
-    where = defaultdict(set)
-    kept_lines = []
-    for rk, key, n, leaf, words in lines:
-        if len(leaves[leaf]) < min_docs:
-            continue
-        template = tuple(w if count[leaf, p, w] >= min_docs else None for p, w in enumerate(words))
+    where, placed = defaultdict(set), []
+    for rk, key, n, leaf, words, same in lines:
+        template = tuple(w if count[leaf, p, w] >= max(min_docs, common * whole[leaf]) else None for p, w in enumerate(words))
+        groups = [(2, same)]
         if sum(w is not None for w in template[depth:]) >= share * max(1, len(words) - depth):
-            where[leaf, template].add(rk)
-            kept_lines.append((rk, key, n, (leaf, template)))
+            groups.append((min_docs, leaf, template))
+        for g in groups:
+            where[g].add(rk)
+            placed.append((rk, key, n, g))
     gone = defaultdict(set)
-    for rk, key, n, t in kept_lines:
-        keepers = [k for k, _ in where[t] if k is not None]
-        if len(where[t]) >= min_docs and key != (min(keepers) if keepers else None):
+    for rk, key, n, g in placed:
+        keepers = [k for k, _ in where[g] if k is not None]
+        if len(where[g]) >= g[0] and key != (min(keepers) if keepers else None):
             gone[rk].add(n)
     return [(k, None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[k, t])) for k, t in rows]
 
@@ -71,3 +71,40 @@ def test_query_whole_table(spark):
     out = linededup.op1_line_dedup(spark, "/root/testdata/sf0.001").collect()
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((r.doc_id, r.text) for r in out) == sorted(plain(rows))
+
+
+def test_lines_in_two_documents_go_from_the_second(spark):
+    line = " ".join(prose(77, 60).split())
+    rows = [(5, f"{prose(1, 20)}\n{line}"), (3, f"{line}\n{prose(2, 20)}\n{line}"), (9, line.upper()), (7, "a 1 b 2 c 3 d 4"), (8, "a 5 b 6 c 7 d 8")]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {5: prose(1, 20), 3: rows[1][1], 9: "", 7: rows[3][1], 8: rows[4][1]}
+
+
+def test_fields_generalise_alike_at_every_size(spark):
+    """A line with two fields of letters is dropped from all documents but one, whether its fields' values recur or not."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for n in (100, 3000):
+        rows = [(i, f"this page was posted by name{i * 13 % 400} from city{i * 17 % 397} and may be shared freely".translate(letters)) for i in range(n)]
+        out = linededup.line_dedup(frame(spark, rows)).collect()
+        assert sum(r.text != "" for r in out) == 1, n
+
+
+def test_long_document_is_rewritten_in_linear_time(spark):
+    body = "\n".join(f"line of words number x{chr(97 + i % 26)}y{i}" if i % 2 else f"short {i}" for i in range(200_000))
+    rows = [(1, body), (2, body), (3, body)]
+    began = time.time()
+    got = {r.doc_id: r for r in linededup.line_dedup(frame(spark, rows), counts=True).collect()}
+    assert got[1].text == body and got[2].n_dropped == 100_000 and got[3].text == "\n".join(x for x in body.split("\n") if x.startswith("short"))
+    assert time.time() - began < 90
+
+
+def test_columns_named_like_those_inside_keep_their_values(spark):
+    line = "a line of many words that recurs"
+    df = frame(spark, [(i, line) for i in range(4)])
+    names = ["rk", "__rk", "gone", "doc", "n", "N_LINES", "n_dropped", "same", "template"]
+    for name in names:
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    out = linededup.line_dedup(df, counts=True)
+    assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    rows = out.collect()
+    assert all(r[name] == f"own {name}" for r in rows for name in names) and sorted(r.text for r in rows) == ["", "", "", line]
