@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ._io import arrow_limits, spread
+from ._io import arrow_limits, free, spread
 
 
 def fold(key: str, n: int) -> Column:
@@ -19,9 +19,10 @@ def fold(key: str, n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of at most max_rows labelled rows of at most max_chars characters each, in a fixed pseudo-random order.
+    """Texts and 0/1 labels of at most max_rows labelled documents of at most max_chars characters each, chosen in a fixed pseudo-random order.
 
-    Only the chosen ids (at most max_rows) are broadcast, and the driver holds max_rows * max_chars characters at most.
+    Only the chosen ids (at most max_rows) are broadcast. A chosen id gives one text, the smallest if several rows have it,
+    so the driver holds max_rows * max_chars characters at most, however often an id recurs.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn)
@@ -29,15 +30,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_ro
     )
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).collect()
     )
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows], np.array([r.y for r in rows], np.int64)
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], name: str, text: str = "text") -> DataFrame:
-    """docs, all columns kept, with the score of each row's whole text as column `name`."""
+    """docs, all columns kept, with the score of each row's whole text as last column `name` (with underscores behind it where docs have that name already)."""
     arrow_limits(docs.sparkSession)
+    (name,) = free(docs, name)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

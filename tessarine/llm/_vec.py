@@ -36,25 +36,44 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slabs(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20, split: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows of about `most` bytes. With split, a longer text comes in pieces that end at white space."""
+def slabs(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of whole rows of about `most` bytes; a longer text is a run of its own."""
     n, row = len(offsets) - 1, 0
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         a, b = int(offsets[row]), int(offsets[end])
-        if split and end == row + 1 and b - a > most:
-            while a < b:
-                stop = min(b, a + most)
-                if stop < b:
-                    gap = np.flatnonzero(~SOLID[data[stop : min(b, stop + 4096)]])
-                    stop += int(gap[0]) if len(gap) else 0
-                yield row, data[a:stop], np.array([0, stop - a])
-                a = stop
-        else:
-            yield row, data[a:b], offsets[row : end + 1] - a
+        yield row, data[a:b], offsets[row : end + 1] - a
         row = end
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20, ahead: int = 3) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """As slabs, but a longer text comes in pieces: (row, bytes, offsets, limit), where what starts before `limit` belongs to the piece.
+
+    A piece ends at white space, wherever the next one is, so no word is cut. Behind its limit follow at least `ahead` bytes and the whole
+    next word, so every n-gram, word and pair of words that starts in it is there in full and is counted in this piece only.
+    """
+    for row, part, at in slabs(data, offsets, most):
+        if len(part) <= most:
+            yield row, part, at, len(part)
+            continue
+        solid = SOLID[part]
+        a, size = 0, len(part)
+        while a < size:
+            stop = a + most
+            while stop < size and solid[stop]:
+                gap = np.flatnonzero(~solid[stop : stop + 4096])
+                stop = stop + int(gap[0]) if len(gap) else min(size, stop + 4096)
+            stop = min(stop, size)
+            end = stop
+            for kind in (False, True):  # white space, then a word
+                while end < size and solid[end] == kind:
+                    other = np.flatnonzero(solid[end : end + 4096] != kind)
+                    end = end + int(other[0]) if len(other) else min(size, end + 4096)
+            end = min(size, max(end, stop + ahead))
+            yield row, part[a:end], np.array([0, end - a]), stop - a
+            a = stop
+
+
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:

@@ -65,7 +65,7 @@ def _probe(batches: Iterator[pa.RecordBatch], words: np.ndarray, sizes: list[int
     """(rk, doc, pos, seed) of the seeds that the bitmap lets through."""
     for batch in batches:
         rk, doc = batch.column(0), batch.column(1)
-        for r0, part, at in slabs(*buffers(batch.column(2)), split=False):
+        for r0, part, at in slabs(*buffers(batch.column(2))):
             w = Words(LOWER[part], at, ALNUM)
             h, row = w.hashes(), w.row
             for size in sizes:

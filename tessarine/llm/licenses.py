@@ -96,7 +96,7 @@ def document_counts(docs: DataFrame, index: Index, text: str = "text") -> tuple[
         total, n = np.zeros(len(keys), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for _, part, at in slabs(*buffers(batch.column(0)), split=False):
+            for _, part, at in slabs(*buffers(batch.column(0))):
                 w = Words(LOWER[part], at, ALNUM)
                 i = index.known(w.hashes())
                 there = np.unique(w.row[i >= 0] * len(keys) + i[i >= 0])
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: di
             n_words, n_base, first, last = (np.zeros(rows, np.int64) for _ in range(4))
             own: list[set] = [set() for _ in range(rows)]
             found: list[dict] = [{} for _ in range(rows)]
-            for r0, part, at in slabs(*buffers(batch.column(1)), split=False):
+            for r0, part, at in slabs(*buffers(batch.column(1))):
                 w = Words(LOWER[part], at, ALNUM)
                 h, row = w.hashes(), w.row
                 here = slice(r0, r0 + len(at) - 1)

@@ -6,17 +6,21 @@ text that mentions an identity term, its sentences are repeated with the term sw
 list, and the squared change of the logit is part of the loss: what is left of a term's weight is what all terms
 share, so a neutral mention of one group moves no score.
 
-Scoring is a map over Arrow batches: no shuffle, whole texts, memory bounded by a slab. A feature counts once a text,
-so a score doesn't sink with length.
+Swaps that change a text by the same features are one pair with a count, so every mention of every sampled text is part of
+the penalty and the table of pairs is small: its size follows the terms, not the texts.
 
-Defined results: null and empty texts have the offset's score; without labelled rows of both classes every score is
-0.5; labels other than 0 and 1 are ignored; of several labels of a doc_id the larger counts; a null doc_id is not
-held out. Input columns other than doc_id and text are never read.
+Scoring is a map over Arrow batches: no shuffle, whole texts, memory bounded by a piece of a text. A feature counts once a text,
+so a score doesn't sink with length; the features of a long text's pieces are a set, so pieces score as the whole.
+
+Defined results: null and empty texts have the offset's score; without labelled rows of both classes, and so for an empty table of labels, every score is
+0.5; labels other than 0 and 1 are ignored; of several labels of a doc_id the larger counts, and of several texts the smallest is learned from; repeated
+rows each have the same score; a null doc_id is not held out. Input columns other than doc_id and text are never read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._io import table
 from ._labelled import fold, sample, scored
-from ._vec import ALNUM, LOWER, Words, buffers, slabs
+from ._vec import ALNUM, LOWER, Words, buffers, pieces
 
 THRESHOLD = 0.7
 _U = np.uint64
@@ -56,14 +60,14 @@ class Model:
     weights: np.ndarray
     offset: float
 
-    def score(self, column: pa.Array) -> np.ndarray:
+    def score(self, column: pa.Array, piece: int = 1 << 20) -> np.ndarray:
         data, offsets = buffers(column)
         n = len(self.keys)
         # 16 leading bits first: most words end there
         gate = np.zeros(1 << 20, bool)
         gate[(self.keys >> _U(44)).astype(np.int64)] = True
         total, seen = np.full(len(offsets) - 1, self.offset), [np.zeros(0, np.int64)]
-        for row, part, at in slabs(data, offsets):
+        for row, part, at, _ in pieces(data, offsets, piece):
             for r, h in _hits(part, at):
                 some = np.flatnonzero(gate[(h >> _U(44)).astype(np.int64)])
                 r, h = r[some], h[some]
@@ -96,7 +100,17 @@ def swaps(text: str, identity: tuple[tuple[str, ...], ...] = IDENTITY, each: int
     return out
 
 
-def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, epochs: int = 800, rate: float = 0.5, least: int = 3, beyond: float = 4.0, max_pairs: int = 20_000) -> Model:
+def changes(texts: list[str], identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Counter:
+    """(features that a swap takes away, features that it adds) -> how many swaps of the texts' sentences do so."""
+    out: Counter = Counter()
+    for t in texts:
+        for a, b in swaps(t, identity):
+            a, b = bag(a), bag(b)
+            out[tuple(np.setdiff1d(a, b).tolist()), tuple(np.setdiff1d(b, a).tolist())] += 1
+    return out
+
+
+def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] = IDENTITY, penalty: float = 1.0, epochs: int = 800, rate: float = 0.5, least: int = 3, beyond: float = 4.0) -> Model:
     """penalty: weight of the squared logit change over swaps; least: texts a feature must be in; beyond: standard errors between the classes' shares of a feature."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, _U), np.zeros(0), 0.0)
@@ -114,10 +128,12 @@ def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] =
     keep = new[code] >= 0
     col, row = new[code[keep]], owner[keep]
     m = len(good)
-    pairs = [(bag(a), bag(b)) for t in texts for a, b in swaps(t, identity)][:max_pairs]
+    found = changes(texts, identity)
+    times = np.array(list(found.values()), float)
     pr, pc, pv = [], [], []
-    for i, (a, b) in enumerate(pairs):
-        for side, sign in ((np.setdiff1d(a, b), 1.0), (np.setdiff1d(b, a), -1.0)):
+    for i, (gone, new) in enumerate(found):
+        for side, sign in ((gone, 1.0), (new, -1.0)):
+            side = np.array(side, _U)
             at = np.searchsorted(keys[good], side)
             at = at[(at < m) & (keys[good][np.minimum(at, m - 1)] == side)] if m else at[:0]
             pr += [i] * len(at)
@@ -134,8 +150,8 @@ def fit(texts: list[str], y: np.ndarray, identity: tuple[tuple[str, ...], ...] =
         err = (p - y) * weight
         g = np.bincount(col, err[row], m) + 1e-5 * w
         if len(pr):
-            gap = np.bincount(pr, pv * w[pc], len(pairs))
-            g += penalty * 2 / len(pairs) * np.bincount(pc, pv * gap[pr], m)
+            gap = np.bincount(pr, pv * w[pc], len(times)) * times
+            g += penalty * 2 / times.sum() * np.bincount(pc, pv * gap[pr], m)
         speed += g * g
         speed_b += err.sum() ** 2
         w -= rate * g / np.sqrt(speed)
