@@ -84,6 +84,52 @@ def test_small_bitmap_gives_the_same(spark):
     assert rows(8) == rows(20)
 
 
+def words_of(text):
+    """Letters and digits of any script, case folded."""
+    return "".join(c if c.isalnum() else " " for c in text.upper().lower()).split()
+
+
+def test_punctuation_and_case_beyond_ascii(spark):
+    """Verbatim items with curly quotes, dashes and an ellipsis, and in capitals with ß and É, against the plain tiling."""
+    item = "Die Straße am Fluß führt über die Brücke bis zum Café Élysée und weiter"
+    fancy = f"\u201c{item.replace(' ', chr(0x2014), 2)}\u2026\u201d"
+    rows = [(1, f"{prose(80, 30)} {fancy} {prose(81, 30)}"), (2, f"{prose(82, 30)} {item.upper()}! {prose(83, 30)}"), (3, f"{prose(84, 30)}\u00ab{item}\u00bb{prose(85, 30)}"), (4, prose(86, 60) + " \u2014 \u00e9t\u00e9")]
+    items = [(1, item), (2, "\u0434\u043e\u043c \u0443 \u0440\u0435\u043a\u0438 \u0438 \u043c\u043e\u0441\u0442 \u043d\u0430\u0434 \u043d\u0435\u0439")]
+    rows += [(5, f"\u2014{items[1][1].upper()}\u2014")]
+    got = {(r.doc, r.item): round(r.coverage, 9) for r in d.matches(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()}
+    want = {(k, i): round(c / len(words_of(b)), 9) for k, t in rows for i, b in items if (c := plain_tiles(words_of(b), words_of(t), 5))}
+    assert got == want and {k for k, c in want.items() if c == 1} == {(1, 1), (2, 1), (3, 1), (5, 2)}
+
+
+def test_seeds_common_to_many_items_and_documents(spark):
+    """A phrase of a third of all documents and of all items; the salted join and the broadcast one give what plain tiling gives."""
+    phrase = "answer the following question with one of these choices"
+    items = [(i, f"{phrase} {prose(300 + i, 25)}") for i in range(12)] + [(3, prose(340, 30)), (20, phrase)]
+    rows = [(i, f"{prose(400 + i, 40)} {phrase} {prose(500 + i, 10)}") for i in range(40)] + [(100 + i, f"{prose(600 + i, 20)} {items[i][1]}") for i in range(13)]
+    rows += [(None, items[2][1]), (7, items[4][1])]
+    docs, bench = frame(spark, rows), frame(spark, items, "item_id long, text string")
+    for floor in (0.0, 0.6):
+        want = {}
+        for k, t in rows:
+            for i, b in items:
+                c = plain_tiles(words_of(b), words_of(t), 5) / len(words_of(b))
+                if c and c >= floor:
+                    want[k, t, i] = max(want.get((k, t, i), 0), round(c, 9))
+        keys = {r.rk: (r.doc_id, r.text) for r in docs.selectExpr("xxhash64(doc_id, text) rk", "*").collect()}
+        for how in ({}, {"most_seeds": 0}):
+            got = {(*keys[r.rk], r.item): round(r.coverage, 9) for r in d.matches(docs, bench, floor=floor, **how).collect()}
+            assert got == want, (floor, how)
+
+
+def test_column_names_pass_untouched(spark):
+    docs, bench = tables(spark)
+    wide = docs
+    for name in ("rk", "__rk", "doc", "pos", "seed", "copy"):
+        wide = wide.selectExpr("*", f"'own {name}' AS `{name}`")
+    out = d.decontaminate(wide, bench)
+    assert out.columns == wide.columns and all(r[n] == f"own {n}" for r in out.collect() for n in wide.columns[2:])
+
+
 def test_query_whole_table(spark):
     got = {r.doc_id: r.item_ids for r in d.op6_decontaminate(spark, "/root/testdata/sf0.001").collect()}
     read = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").collect()
