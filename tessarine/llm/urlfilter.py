@@ -7,11 +7,14 @@ those who link to blocked hosts share in their distrust. A host is blocked if it
 `threshold` times the mean mass of a host; pages without a rule take their host's verdict, hosts without any mass are allowed.
 
 All of it is DataFrame operations: links are extracted by a regular expression, both walks run as one table of
-(direction, host), every round is one join of two written tables and one partial sum, so a hub's rows can be split and
-no round's loss costs another.
+(direction, host), every round is one join with the written table of links and one partial sum, so a hub's rows can be split. Every few rounds
+the walks are written out, and end once a round moves no more than `tolerance` of their mass; as a round moves at most the damping's part of what the round
+before moved, the number of rounds is bounded whatever the graph, and hosts at any distance from a seed that the tolerance can tell from nothing are reached. The mass that the
+last round moved is returned as residual.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and is allowed; null html has no
-links; links of a host to itself carry nothing; repeated rows count as often as they stand; empty tables give empty tables.
+links; very long html is searched whole; links of a host to itself carry nothing; repeated rows count as often as they stand; hosts of equal trust and distrust are allowed, of two
+rules of equal length the one later in the order of host, path and verdict counts; empty tables give empty tables; columns other than key, url and html are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,8 +64,8 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
-    """(host, trust, distrust) of all hosts with any mass. edges: (src, dst, n); seeds: (host, allowed, blocked)."""
+def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, every: int = 4) -> DataFrame:
+    """(host, trust, distrust, residual) of all hosts with any mass. edges: (src, dst, n); seeds: (host, allowed, blocked). Rounds go on, `every` of them at a time, until one moves at most `tolerance`."""
     both = edges.select(F.lit(1).alias("way"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").union(edges.select(F.lit(-1), "dst", "src", "n"))
     out = both.groupBy("way", "host").agg(F.sum("n").alias("all"))
     edge = cut(both.join(out, ["way", "host"]).select("way", "host", "to", (F.col("n") / F.col("all")).alias("share")), "edges")
@@ -72,25 +75,32 @@ def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, round
         .union(seeds.where("blocked > 0").select(F.lit(-1), "host", F.col("blocked") / total.b)),
         "seeds",
     )
-    rank = start
-    for _ in range(rounds if not edge.isEmpty() else 0):
-        moved = edge.join(rank, ["way", "host"]).select("way", F.col("to").alias("host"), (damping * F.col("share") * F.col("mass")).alias("mass"))
-        new = cut(moved.union(start.select("way", "host", (1 - damping) * F.col("mass"))).groupBy("way", "host").agg(F.sum("mass").alias("mass")), "rank")
-        if rank is not start:
-            forget(rank)
+    again = start.select("way", "host", ((1 - damping) * F.col("mass")).alias("mass"), F.lit(0.0).alias("last"))
+    rank, residual = start.withColumn("last", F.lit(0.0)), 0.0
+    walking = not edge.isEmpty() and not start.isEmpty()
+    while walking:
+        new = rank
+        for _ in range(every):
+            moved = edge.join(new, ["way", "host"]).select("way", F.col("to").alias("host"), (damping * F.col("share") * F.col("mass")).alias("mass"), F.lit(0.0).alias("last"))
+            before = new.select("way", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("last"))
+            new = moved.union(again).union(before).groupBy("way", "host").agg(F.sum("mass").alias("mass"), F.sum("last").alias("last"))
+        new = cut(new, "rank")
+        forget(rank)
         rank = new
+        residual = float(rank.groupBy("way").agg(F.sum(F.abs(F.col("mass") - F.col("last"))).alias("d")).agg(F.max("d").alias("d")).first().d or 0.0)
+        walking = residual > tolerance
     part = lambda way: F.sum(F.when(F.col("way") == way, F.col("mass")).otherwise(0.0))
-    return rank.groupBy("host").agg(part(1).alias("trust"), part(-1).alias("distrust"))
+    return rank.groupBy("host").agg(part(1).alias("trust"), part(-1).alias("distrust")).withColumn("residual", F.lit(residual))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", key: str = "page_id", threshold: float = 0.0) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", html: str = "html", key: str = "page_id", threshold: float = 0.0, **how) -> DataFrame:
     """(key, host, path, rule, verdict, trust, distrust)."""
     parsed = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     parsed = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     parsed = parsed.select("key", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     side = lambda v: F.sum((F.col("ruled") == v).cast("long"))
     seeds = parsed.where("ruled is not null and host != ''").groupBy("host").agg(side("allow").alias("allowed"), side("block").alias("blocked"))
-    scores = cut(host_scores(links(pages, url, html), cut(seeds, "seeds")), "scores")
+    scores = cut(host_scores(links(pages, url, html), cut(seeds, "seeds"), **how), "scores")
     mean = 1.0 / max(1, scores.count())
     joined = parsed.join(scores, "host", "left")
     bad = F.coalesce(F.col("distrust") - F.col("trust") > threshold * mean, F.lit(False))
@@ -103,8 +113,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
 
 
-def oracle(damping: float = 0.85, rounds: int = 12) -> str:
-    """The same in DuckDB SQL, one common table expression per round."""
+def oracle(damping: float = 0.85, rounds: int = 60) -> str:
+    """The same in DuckDB SQL, one common table expression per round, of which no more than the bound for the tolerance are needed."""
     lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     ordered = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r), reverse=True)

@@ -22,6 +22,9 @@ def test_url_oracle_with_links(spark, tmp_path):
 
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/p/*.parquet'")
-    want = {r[0]: (r[3], r[4], round(r[5], 8), round(r[6], 8)) for r in con.sql(urlfilter.oracle()).fetchall()}
-    got = {r.key: (r.rule, r.verdict, round(r.trust, 8), round(r.distrust, 8)) for r in urlfilter.judge(pages).collect()}
-    assert got == want
+    want = {r[0]: r[3:7] for r in con.sql(urlfilter.oracle()).fetchall()}
+    got = {r.key: r for r in urlfilter.judge(pages, tolerance=1e-5).collect()}
+    assert set(got) == set(want)
+    for key, (rule, verdict, trust, distrust) in want.items():  # the SQL has more rounds: 0.85**60 of the mass is left there
+        r = got[key]
+        assert (r.rule, r.verdict) == (rule, verdict) and abs(r.trust - trust) < 2e-4 and abs(r.distrust - distrust) < 2e-4
