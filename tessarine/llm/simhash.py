@@ -12,7 +12,7 @@ look up each member's possible neighbours (the work is linear in the run) and em
 neighbours; beyond it they fall into blocks, and every pair of blocks is a unit of at most `run_limit` members.
 
 Defined results: null and empty texts (and texts of white space only) have fingerprint zero and link with each
-other; a text of fewer words than a shingle is one shingle; repeated rows and ids link; a null doc_id takes part in
+other; a text of fewer words than a shingle is one shingle; very long texts are read whole; repeated rows and ids link; a null doc_id takes part in
 a group but never names one (a group of null ids has a null component); tables may be empty and may have more
 columns of any name, which are ignored.
 """
@@ -36,9 +36,8 @@ from ._vec import LOWER, SOLID, Words, buffers
 _U = np.uint64
 
 
-def fingerprint(data: bytes, start: np.ndarray, end: np.ndarray, shingle: int, distinct: bool = False) -> int:
-    """Of one text whose words have these byte bounds (A-Z already lower-cased). With distinct, each shingle counts once, and the
-    smallest hash decides bits that just half of the shingles have: else texts of two shingles would be mostly zeros and alike."""
+def fingerprint(data: bytes, start: np.ndarray, end: np.ndarray, shingle: int) -> int:
+    """Of one text whose words have these byte bounds (A-Z already lower-cased)."""
     n = len(start)
     if not n:
         return 0
@@ -50,23 +49,18 @@ def fingerprint(data: bytes, start: np.ndarray, end: np.ndarray, shingle: int, d
         begin, stop = begin[: n - shingle + 1], stop[shingle - 1 :]
     else:
         begin, stop = begin[:1], stop[-1:]
-    h = np.array([digest(text[a:b], 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], _U)
-    if distinct:
-        h = np.unique(h)
-        return majority(h, int(h[0]))
-    return majority(h)
+    return majority(np.array([digest(text[a:b], 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], _U))
 
 
-def majority(h: np.ndarray, ties: int = 0) -> int:
-    """Bits that are set in over half of the hashes; where just half have a bit, that of `ties`."""
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 4096):
-        total += np.unpackbits(h[i : i + 4096].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    even = np.unpackbits(np.array([ties], _U).view(np.uint8), bitorder="little").astype(bool) & (total * 2 == len(h))
-    return int(np.packbits((total * 2 > len(h)) | even, bitorder="little").view(_U)[0])
+    for i in range(0, len(h), 255):
+        total += np.unpackbits(h[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view(_U)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long."""
     arrow_limits(docs.sparkSession)
 
@@ -77,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
             for i in range(batch.num_rows):
                 one = LOWER[data[offsets[i] : offsets[i + 1]]]
                 w = Words(one, np.array([0, len(one)]), SOLID)
-                out[i] = fingerprint(one.tobytes(), w.start, w.start + w.length, shingle, distinct)
+                out[i] = fingerprint(one.tobytes(), w.start, w.start + w.length, shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -275,9 +269,9 @@ def links(distinct_fp: DataFrame, radius: int = 2, segments: int | None = None,
     return found if over.isEmpty() else found.union(_long_runs(over, distinct_fp, radius, run_limit))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, segments: int | None = None, distinct: bool = False, run_limit: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, segments: int | None = None, run_limit: int = 200_000) -> DataFrame:
     """(key, fp, component): component is the smallest key reachable through links of up to radius differing bits."""
-    own = cut(fingerprints(docs, text, key, shingle, distinct), "fp")
+    own = cut(fingerprints(docs, text, key, shingle), "fp")
     heads = cut(own.groupBy("fp").agg(F.min("key").alias("head")), "heads")
     pairs = cut(links(heads.select("fp"), radius, segments, run_limit), "links")
     # links between fingerprints, as components by the fingerprint; each then takes its smallest key

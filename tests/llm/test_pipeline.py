@@ -1,8 +1,8 @@
 import pytest
 
 import corpus_pipeline as cp
-from tessarine.llm import quality
-from tests.llm import test_linededup, test_simhash
+from tessarine.llm import quality, similar
+from tests.llm import test_linededup, test_similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,23 +47,12 @@ def test_line_stage(staged):
 
 
 def test_near_dup_stage(staged):
+    """One of each component over all pairs of fingerprints."""
     before, after = staged["SimHash near-dedup"]
     rows = pairs(before)
-    fps = []
-    for k, t in rows:
-        words = t.lower().split() if t.isascii() else None
-        if words is None:
-            import re
-
-            words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
-        import xxhash
-
-        grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-        hashes = {xxhash.xxh64_intdigest(g.encode(), 42) for g in grams}
-        twice = [2 * sum(h >> b & 1 for h in hashes) for b in range(64)]
-        fps.append((k, sum(1 << b for b in range(64) if twice[b] > len(hashes) or hashes and twice[b] == len(hashes) and min(hashes) >> b & 1)))
-    kept = {k for (k, _), c in zip(fps, test_simhash.plain_components(fps, 5), strict=True) if k == c}
-    assert pairs(after) == [r for r in rows if r[0] in kept]
+    keys = [k for k, _ in rows]
+    kept = {k for k, c in zip(keys, test_similar.plain_components(keys, [test_similar.plain_fp(t) for _, t in rows], similar.radius_for(0.8, 512)), strict=True) if k == c}
+    assert pairs(after) == [r for r in rows if r[0] in kept] and len(kept) < len(rows)
 
 
 def test_near_dup_stage_with_repeated_and_null_ids(spark):
@@ -105,10 +94,12 @@ def test_stages_on_odd_rows_and_empty_tables(spark, index):
 
     name, stage = cp.STAGES[index]
     rows = [(k, t, None if i % 3 == 0 else "en", None if i % 4 == 0 else f"s{i % 2}", None if t is None else len(t)) for i, (k, t) in enumerate(odd_documents())]
-    docs = odd_table(spark, rows)
+    docs = odd_table(spark, rows).selectExpr("*", "'own' AS __rk", "'own' AS __row", "'own' AS id", "'own' AS mix_topic")
     out = stage(spark, docs, SF)
     assert out.columns[: len(docs.columns)] == docs.columns and (len(out.columns) == len(docs.columns) or index == len(cp.STAGES) - 1)
-    kept = [r.doc_id for r in out.collect()]
+    found = out.collect()
+    assert all(r[c] == "own" for r in found for c in ("__rk", "__row", "id", "mix_topic"))
+    kept = [r.doc_id for r in found]
     known = [r[0] for r in rows]
     assert all(kept.count(k) <= known.count(k) for k in set(kept))
     if name in ("quality classifier", "line dedup", "benchmark decontamination"):
