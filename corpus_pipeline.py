@@ -8,51 +8,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarine.llm import decontaminate, linededup, mixing, quality, simhash
+from tessarine.llm import decontaminate, linededup, mixing, quality, similar
 from tessarine.llm._io import cut, scratch, table
 from tessarine.llm._labelled import accepted
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.3 or more, as they are."""
+    """Documents with a quality score of 0.3 or more, as they are.
+
+    A text is scored whole, however long; null and empty texts have the model's offset as score and stay or go together, as do repeated rows. Without labels of both classes every
+    score is 0.5 and all rows stay. Other columns pass through, whatever their names; an empty table gives an empty table.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return accepted(docs, model.score, quality.THRESHOLD)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of templates that recur (the document of the smallest id keeps its lines); n_chars follows the text."""
+    """All documents, without lines of templates that recur and without lines repeated word for word (the document of the smallest id keeps its lines); n_chars follows the text.
+
+    Null texts stay null; a document may end up with an empty text; rows repeated with id and text are one document and lose the same lines; of lines whose documents have null ids only, none
+    goes. Very long texts are read whole. Other columns pass through, whatever their names; an empty table gives an empty table.
+    """
     out = linededup.line_dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints over distinct five-word shingles are linked by 5 of 64 bits or fewer, that is an estimated cosine of 0.97 and more. Null ids and ids of several texts are as many documents as they have texts."""
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    repeated = cut(rows.groupBy("doc_id").agg(F.count("*").alias("__n"), (F.min("__row") != F.max("__row")).alias("__shared")).where("__n > 1 and doc_id is not null"), "repeated")
-    shared = repeated.where("__shared").select(F.col("doc_id").alias("__id"))
-    # a row is known by its id and text hash; a group keeps the row of the smallest id, of ids of one text if there are any, of null ids last
+    """One document of each group of texts whose sets of five-word shingles are 0.8 alike or more, as SimHash fingerprints of 512 bits tell.
+
+    Links are transitive. A group keeps its row of the smallest id: of ids that stand for one text if there are any, then of ids of several texts, null ids last; rows of one
+    (id, text) are one. So null ids and ids of several texts are as many documents as they have unlinked texts. Null, empty and blank texts are one group. Texts of fewer
+    than five words are one shingle; very long texts are read whole. Columns pass through, whatever their names; an empty table gives an empty table.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("all"), F.col("doc_id").alias("id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
+    repeated = cut(rows.groupBy("id").agg(F.count("*").alias("n"), (F.min("row") != F.max("row")).alias("shared")).where("n > 1 and id is not null"), "repeated")
+    shared = repeated.where("shared").select(F.col("id").alias("several"))
+    marked = rows.select("id", "row", "text")
     if shared.isEmpty():
-        marked = rows.withColumn("__id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+        marked = marked.withColumn("several", F.lit(None).cast(docs.schema["doc_id"].dataType))
     else:
-        marked = rows.join(shared, rows["doc_id"] == shared["__id"], "left")
-    rank = F.when(F.col("doc_id").isNull(), 2).when(F.col("__id").isNotNull(), 1).otherwise(0)
-    marked = marked.withColumn("__key", F.struct(rank.alias("rank"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
-    found = simhash.near_duplicates(marked, key="__key", shingle=5, radius=5, distinct=True)
-    keys = cut(found.where(F.col("key") == F.col("component")).select(F.col("key.id").alias("__kid"), F.col("key.row").alias("__krow")).distinct(), "kept")
-    kept = rows.join(keys, (rows["__row"] == keys["__krow"]) & rows["doc_id"].eqNullSafe(keys["__kid"]), "left_semi")
+        marked = marked.join(shared, marked["id"] == shared["several"], "left")
+    rank = F.when(F.col("id").isNull(), 2).when(F.col("several").isNotNull(), 1).otherwise(0)
+    found = similar.near_duplicates(marked.select(F.struct(rank.alias("rank"), "id", "row").alias("key"), "text"), key="key")
+    kept = cut(found.where(F.col("key") == F.col("component")).select(F.col("key.id").alias("k_id"), F.col("key.row").alias("k_row")).distinct(), "kept")
+    out = rows.join(kept, (rows["row"] == kept["k_row"]) & rows["id"].eqNullSafe(kept["k_id"]), "left_semi")
     # copies of a row, null ids among them
-    if repeated.isEmpty() and rows.where("doc_id is null").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+    if not repeated.isEmpty() or not rows.where("id is null").isEmpty():
+        out = out.dropDuplicates(["id", "row"])
+    return out.select("all.*")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item to 60 % or more."""
+    """Documents that cover no benchmark item to 60 % or more.
+
+    Null and empty texts stay; very long texts are read whole; repeated rows stay or go together; items without words or with a null id match nothing, and without items all rows stay.
+    Columns pass through, whatever their names; an empty table gives an empty table.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample by calibrated probabilities, with mix_topic, mix_tokens, mix_weight, mix_probability and mix_repeats (how often a row is to be taken for the sample to meet its targets)."""
+    """The sample by calibrated probabilities, with mix_topic, mix_tokens, mix_weight, mix_probability and mix_repeats: how often a row is to be taken for the sample's tokens to meet their targets.
+
+    Null sources and languages are values of their own; null and empty texts have no tokens and stay by the plain rate if their cell has none; documents of a null id share one chance, repeated
+    rows their fate; very long texts are counted whole. A name that docs have already gets underscores behind it. An empty table gives an empty table.
+    """
     return mixing.mix(docs, keep_columns=True)
 
 
