@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import cut
+
 #: Up to this many values (rows times width) the other side of a neighbour search is broadcast (256 MiB of doubles).
 BROADCAST_VALUES = 32 << 20
 
@@ -67,53 +69,137 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_values: int = BROADCAST_VALUES, block: int = 4096) -> DataFrame:
-    """(id, other, dist, rank): the k nearest other rows by cosine distance of unit vectors, exactly.
+def _slim(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """(id, vec) of the rows that have a vector without null components; others are nobody's neighbours and have none."""
+    whole = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull())
+    return rows.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec")).where(whole)
 
-    Two plans give the same rows. Where the vectors' measured size is within a broadcast's bound, every task multiplies its
-    rows with all vectors. Beyond it, rows fall into blocks by their id's hash, every pair of blocks is a task's unit, and the
-    k best of each unit merge in a window per row.
-    """
-    slim = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec"))
-    n, head = slim.count(), slim.first()  # a count reads no vectors
-    slim.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    schema = "id bigint, other bigint, dist double"
-    if head is None or n * len(head.vec) <= most_values:
-        all_rows = slim.toArrow()
-        ids, x = all_rows.column("id").to_numpy(), _matrix(all_rows.column("vec").combine_chunks())
-        sent = slim.sparkSession.sparkContext.broadcast((ids, x))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            other_ids, other = sent.value
-            for batch in batches:
-                for a in range(0, batch.num_rows, 512):
-                    part = batch.slice(a, 512)
-                    own = part.column(0).to_numpy()
-                    i, o, d = _neighbours(own, _matrix(part.column(1)), other_ids, other, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(o), pa.array(d)], ["id", "other", "dist"])
-
-        met = slim.repartition(slim.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema) if n > 512 else slim.mapInArrow(run, schema)
-    else:
-        blocks = max(1, -(-n // block))
-        own = slim.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        left = own.select(F.col("b").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("r"), F.lit(True).alias("asks"), "id", "vec")
-        right = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("l"), F.col("b").alias("r"), F.lit(False).alias("asks"), "id", "vec")
-
-        def pair(table: pa.Table) -> pa.Table:
-            asks = table.column("asks").to_numpy(zero_copy_only=False)
-            a, b = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-            out = ([], [], [])
-            if a.num_rows and b.num_rows:
-                own_ids = a.column("id").to_numpy()
-                i, o, d = _neighbours(own_ids, _matrix(a.column("vec").combine_chunks()), b.column("id").to_numpy(), _matrix(b.column("vec").combine_chunks()), k)
-                out = (own_ids[i], o, d)
-            return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["id", "other", "dist"])
-
-        met = left.unionByName(right).groupBy("l", "r").applyInArrow(pair, schema)
+
+def _best(met: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("id").orderBy("dist", "other"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+NEAR = "id bigint, other bigint, dist double"
+
+
+def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_values: int = BROADCAST_VALUES, exact: bool = False, **how) -> DataFrame:
+    """(id, other, dist, rank): the k nearest other rows by cosine distance of unit vectors. Rows without a vector, or with null components, take no part.
+
+    Where the vectors' measured size is within a broadcast's bound, every task multiplies its rows with all vectors, and the result is exact.
+    Beyond it a join over lists of near vectors finds them (nearest_by_lists, with its measured recall), as every exact plan compares all with all; `exact` asks
+    for that all the same (nearest_by_blocks).
+    """
+    slim = _slim(rows, key, vec)
+    facts = slim.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
+    if facts.n * (facts.width or 0) > most_values:
+        return nearest_by_blocks(slim, k, facts.n, **how) if exact else nearest_by_lists(slim, k, facts.n, **how)
+    all_rows = slim.toArrow()
+    ids, x = all_rows.column("id").to_numpy(), _matrix(all_rows.column("vec").combine_chunks())
+    sent = slim.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other_ids, other = sent.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                own = part.column(0).to_numpy()
+                i, o, d = _neighbours(own, _matrix(part.column(1)), other_ids, other, k)
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(o), pa.array(d)], ["id", "other", "dist"])
+
+    return _best(slim.repartition(slim.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, NEAR) if facts.n > 512 else slim.mapInArrow(run, NEAR), k)
+
+
+def _unit_of(asks: str, k: int):
+    """The k nearest of a unit's asking rows among its other rows."""
+
+    def pair(table: pa.Table) -> pa.Table:
+        asking = table.column(asks).to_numpy(zero_copy_only=False)
+        a, b = table.filter(pa.array(asking)), table.filter(pa.array(~asking))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if a.num_rows and b.num_rows:
+            ids, x, y = b.column("id").to_numpy(), _matrix(b.column("vec").combine_chunks()), _matrix(a.column("vec").combine_chunks())
+            own = a.column("id").to_numpy()
+            for at in range(0, len(own), 512):
+                i, o, d = _neighbours(own[at : at + 512], y[at : at + 512], ids, x, k)
+                out.append((own[at : at + 512][i], o, d))
+        return pa.table([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], ["id", "other", "dist"])
+
+    return pair
+
+
+def nearest_by_blocks(slim: DataFrame, k: int, n: int, block: int = 4096) -> DataFrame:
+    """Exactly: rows fall into blocks by their id's hash, every pair of blocks is a task's unit, and the k best of each unit merge in a window per row. Every vector travels n / block times."""
+    blocks = max(1, -(-n // block))
+    own = slim.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = own.select(F.col("b").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("r"), F.lit(True).alias("asks"), "id", "vec")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("l"), F.col("b").alias("r"), F.lit(False).alias("asks"), "id", "vec")
+    return _best(left.unionByName(right).groupBy("l", "r").applyInArrow(_unit_of("asks", k), NEAR), k)
+
+
+def centres_of(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
+    """Centres of a sample by a few rounds of k-means from its first rows."""
+    centres = x[: min(lists, len(x))].copy()
+    for _ in range(rounds if len(x) else 0):
+        best = lists_of(x, centres)
+        for c in np.unique(best).tolist():
+            centres[c] = x[best == c].mean(0)
+    return centres
+
+
+def lists_of(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row, ties to the smaller number."""
+    return np.argmin((centres**2).sum(1)[None, :] - 2 * x @ centres.T, 1)
+
+
+def enough_probes(x: np.ndarray, centres: np.ndarray, space: str, k: int, recall: float = 0.95, queries: int = 256) -> int:
+    """How many of the nearest lists hold `recall` of the k nearest of x (without itself) to its members, on average over up to `queries` of them."""
+    if len(x) <= k:
+        return len(centres)
+    own = lists_of(x, centres)
+    some = np.unique(np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int))
+    far = ((x**2).sum(1)[None, :] if space == "l2" else 0) - (2 if space == "l2" else 1) * x[some] @ x.T
+    far[np.arange(len(some)), some] = np.inf
+    near = np.argpartition(far, k - 1, 1)[:, :k]
+    # the place of each neighbour's list in the order in which a query reads lists
+    turn = np.argsort(np.argsort((centres**2).sum(1)[None, :] - 2 * x[some] @ centres.T, 1), 1)
+    read = np.take_along_axis(turn, own[near], 1)
+    found = np.array([(read < p).mean() for p in range(1, len(centres) + 1)])
+    return int(np.argmax(found >= recall)) + 1
+
+
+def nearest_by_lists(slim: DataFrame, k: int, n: int, block: int = 4096, sample_rows: int = 4096, most_lists: int = 4096, recall: float = 0.95, probes: int | None = None) -> DataFrame:
+    """Approximately: rows lie in lists by their nearest centre and ask in as many lists, nearest first, as a bounded sample needs for `recall` of its k nearest.
+
+    A list longer than `block` is cut into blocks by a hash of the id, and so are those who ask there; each pair of a block and a part is a unit, so no task holds a hot list, and all rows are indexed. With
+    as many probes as lists the result is exact. Where the sample needs most lists (vectors without any structure) the join approaches all pairs: that is the price of its recall.
+    """
+    x = np.array([r.vec for r in slim.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()], np.float64)
+    centres = centres_of(x, int(np.clip(2 * np.sqrt(n), 1, min(most_lists, max(1, len(x) // 8)))))
+    reads = min(probes or enough_probes(x, centres, "ip", min(k, max(1, len(x) // 8)), recall), len(centres))
+    sent = slim.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, vec, list, lists): where a row lies, and where it asks."""
+        mid = sent.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                far = (mid**2).sum(1)[None, :] - 2 * _matrix(part.column(1)) @ mid.T
+                order = np.argsort(far, 1, kind="stable")[:, :reads].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(order[:, 0]), pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * reads), pa.array(order.ravel()))], ["id", "vec", "list", "lists"])
+
+    placed = cut(slim.mapInArrow(place, "id bigint, vec array<double>, list int, lists array<int>"), "lists")
+    blocks = placed.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    parts = placed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("parts"))
+    sizes = F.broadcast(cut(blocks.join(parts, "list"), "sizes"))  # a row per list, most_lists at most
+    deal = lambda number, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(number)).cast("int")
+    each = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+    lying = placed.join(sizes, "list").select("list", deal("blocks", 0).alias("b"), each("parts").alias("p"), F.lit(False).alias("asks"), "id", "vec")
+    asking = placed.select("id", "vec", F.explode("lists").alias("list")).join(sizes, "list").select("list", each("blocks").alias("b"), deal("parts", 1).alias("p"), F.lit(True).alias("asks"), "id", "vec")
+    return _best(lying.unionByName(asking).groupBy("list", "b", "p").applyInArrow(_unit_of("asks", k), NEAR), k)
+
+
 def nearest_by_columns(rows: DataFrame, k: int, key: str = "id", vec: str = "vec") -> DataFrame:
     """The same by column expressions alone, for small tables: what tests hold nearest() against."""
     a = rows.select(F.col(key).alias("id"), F.col(vec).alias("va"))

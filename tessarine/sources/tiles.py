@@ -127,46 +127,25 @@ PROBED = (10, 100)
 INDEX_META = "space string, dim int, lists int, count bigint, centres array<array<double>>, probes array<int>"
 
 
-def enough_probes(x: np.ndarray, centres: np.ndarray, space: str, k: int, recall: float = 0.95, queries: int = 256) -> int:
-    """How many of the nearest lists hold `recall` of the k nearest of x (without itself) to its members, on average over up to `queries` of them."""
-    if len(x) <= k:
-        return len(centres)
-    own = np.argmin(((centres**2).sum(1)[None, :] - 2 * x @ centres.T), 1)
-    some = np.unique(np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int))
-    far = ((x**2).sum(1)[None, :] if space == "l2" else 0) - (2 if space == "l2" else 1) * x[some] @ x.T
-    far[np.arange(len(some)), some] = np.inf
-    near = np.argpartition(far, k - 1, 1)[:, :k]
-    # the place of each neighbour's list in the order in which a query reads lists
-    turn = np.argsort(np.argsort((centres**2).sum(1)[None, :] - 2 * x[some] @ centres.T, 1), 1)
-    read = np.take_along_axis(turn, own[near], 1)
-    found = np.array([(read < p).mean() for p in range(1, len(centres) + 1)])
-    return int(np.argmax(found >= recall)) + 1
-
-
 def build_index(vectors: DataFrame, folder: str, lists: int = 64, space: str = "cosine", sample_rows: int = 4096) -> dict:
     """A vector index on disk: rows (tile_id, label, path, vec) in Parquet by their nearest of `lists` centres. Centres come from a bounded sample by a few rounds of k-means.
 
     space cosine stores v / (|v| + 1e-12); l2 and ip store v as it is. Returns and writes the summary, and writes how many lists
     hold 95 % of the 10 and of the 100 nearest within the sample, where neighbours lie farther apart than among all rows.
     """
-    from ..operators.vectors import doubles, unit
+    from ..operators.vectors import centres_of, doubles, enough_probes, lists_of, unit
 
     vec = doubles(F.col("vec"))
     rows = vectors.withColumn("vec", unit(vec, added=True) if space == "cosine" else vec)
     x = np.array([r.vec for r in rows.select("tile_id", "vec").orderBy(F.xxhash64("tile_id"), "tile_id").limit(sample_rows).collect()])
-    centres = x[: min(lists, len(x))].copy()
-    for _ in range(8 if len(x) else 0):
-        best = np.argmin(((x[:, None, :] - centres[None]) ** 2).sum(2), 1)
-        for c in range(len(centres)):
-            if (best == c).any():
-                centres[c] = x[best == c].mean(0)
+    centres = centres_of(x, lists)
     width = centres.shape[1] if len(x) else 0
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("vec")
             v = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
-            near = np.argmin((centres**2).sum(1)[None, :] - 2 * v @ centres.T, 1) if batch.num_rows else np.zeros(0)
+            near = lists_of(v, centres) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], [*batch.schema.names, "list"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", list int"

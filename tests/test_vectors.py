@@ -29,7 +29,26 @@ def test_three_plans_find_the_same_neighbours(spark):
     want = got(V.nearest_by_columns(rows, 4))
     assert len(want) == 240
     assert got(V.nearest(rows, 4)) == want
-    assert got(V.nearest(rows, 4, most_values=10, block=17)) == want
+    assert got(V.nearest(rows, 4, most_values=10, exact=True, block=17)) == want
+    assert got(V.nearest(rows, 4, most_values=10, block=5, probes=1000)) == want
+
+
+def test_neighbours_by_lists_are_found(spark):
+    """With lists and probes from the sample, 90 % and more of the nearest are found; a list that holds a third of all rows is cut."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 16)), rng.normal(size=16) * 5 + 0.3 * rng.normal(size=(450, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    want = {(r.id, r.other) for r in V.nearest(rows, 10).collect()}
+    found = {(r.id, r.other) for r in V.nearest(rows, 10, most_values=10, block=100, sample_rows=700).collect()}
+    assert len(found) == len(want) == 13500 and len(found & want) >= 0.9 * len(want)
+
+
+def test_rows_without_vectors_have_no_neighbours(spark):
+    rows = frame(spark, [(1, None), (2, [1.0, 0.0]), (3, [None, 1.0]), (4, [0.0, 1.0]), (None, [1.0, 0.0])])
+    assert {(r.id, r.other) for r in V.nearest(rows.where("id is not null"), 3).collect()} == {(2, 4), (4, 2)}
+    assert V.nearest(rows.limit(1), 3).count() == 0
+    assert {r.id: r.novelty for r in scoring.novelty(rows.where("id is not null")).collect()} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0}
 
 
 @pytest.mark.parametrize(("n", "k"), [(1, 20), (2, 20), (3, 1)])
