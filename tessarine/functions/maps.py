@@ -29,3 +29,8 @@ def rejection(**checks: Column) -> Column:
     for name, ok in reversed(checks.items()):
         out = F.when(~F.coalesce(ok, F.lit(False)), f"invalid_{name}").otherwise(out)
     return out
+
+
+def request_error(agent: Column, quality: Column, export: Column, size: Column) -> Column:
+    """What is wrong with a request's words and numbers, the first of it, or null."""
+    return rejection(agent=agent.isin(*AGENTS), quality=quality.isin(*QUALITIES), export=export.isin(*EXPORTS), size=size > 0)

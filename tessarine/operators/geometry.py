@@ -120,6 +120,11 @@ def tile_side_px(tile_um: Value, mpp: Column) -> Column:
     return F.greatest(F.ceil(col(tile_um) / mpp), F.lit(1))
 
 
+def um_to_level0(um: Column, mpp: Column) -> Column:
+    """A place in microns in level-0 pixels, not rounded."""
+    return um / mpp
+
+
 def supertile(tile_um: Value, mpp: Column, most_px: int = NATIVE_SIDE) -> Column:
     """Tiles per side, tile side and side of the largest square read that holds whole tiles."""
     n = F.greatest(F.floor(most_px * mpp / col(tile_um)), F.lit(1))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.strings import public_url
+
 #: Caps of the ledgers.
 VIEWS_KEPT, VIEWS_SHOWN, CANDIDATES_SHOWN = 8, 4, 8
 GOOD_CAP, BAD_CAP = 200, 50
@@ -69,23 +71,58 @@ def live_marks(log: DataFrame, by: list[str], order: list[str], kind: str = "kin
 def run_state(events: DataFrame, by: list[str], order: list[str], kind: str = "kind") -> DataFrame:
     """Status after each event by the transition table; an event that its status doesn't allow leaves it and is refused.
 
-    A fold over the run's ordered events inside Catalyst: what an event does depends on all before it.
+    The table only ever moves on: but for uploads, each status is entered once, by the first fitting event after its predecessor was entered. So the
+    moves are a handful of running minima over the run's ordered events, windows of one layout, and no array of the run's events is ever built.
     """
-    item = F.struct(*order, F.col(kind).alias("__k"))
-    rows = events.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    log = "array<struct<" + ",".join(f"{c}:{events.schema[c].dataType.simpleString()}" for c in order) + ",event:string,status:string,ok:boolean>>"
-    state = F.struct(F.lit(None).cast("string").alias("status"), F.array().cast(log).alias("log"))
-
-    def step(s: Column, e: Column) -> Column:
-        target = F.lit(None).cast("string")
-        for event, (sources, to) in TRANSITIONS.items():
-            allowed = s["status"].isNull() if sources == (None,) else s["status"].isin(*sources)
-            target = F.when((e["__k"] == event) & allowed, to).otherwise(target)
-        new = F.coalesce(target, s["status"])
-        entry = F.struct(*[e[c].alias(c) for c in order], e["__k"].alias("event"), new.alias("status"), target.isNotNull().alias("ok"))
-        return F.struct(new.alias("status"), F.concat(s["log"], F.array(entry)).alias("log"))
-
-    return rows.select(*by, F.inline(F.aggregate("all", state, step, lambda s: s["log"])))
+    run = W.partitionBy(*by)
+    rows = events.select(*by, *order, F.col(kind).alias("event")).withColumn("__at", F.row_number().over(run.orderBy(*order)))
+
+    def first(event: str, after: str) -> Column:
+        names = (event,) if isinstance(event, str) else event
+        hit = F.col("event").isin(*names)
+        return F.min(F.when(hit if after is None else hit & (F.col("__at") > F.col(after)), F.col("__at"))).over(run)
+
+    rows = rows.withColumn("__created", first("create", None))
+    for name, event, after in (("__closed", "finalize", "__created"), ("__ended", ("fail", "terminate"), "__created"), ("__loaded", "upload", "__created")):
+        rows = rows.withColumn(name, first(event, after))
+    for name, event, after in (("__started", "start", "__closed"), ("__finished", "finish", "__started")):
+        rows = rows.withColumn(name, first(event, after))
+    never = F.lit(1 << 31).cast("bigint")
+    at = lambda c: F.coalesce(F.col(c), never)
+    # a run ends by failing or by finishing, whichever comes first, and nothing moves behind its end
+    rows = rows.withColumn("__ended", F.when(at("__ended") < at("__finished"), F.col("__ended")))
+    for name in ("__closed", "__started", "__finished"):
+        rows = rows.withColumn(name, F.when(at(name) < at("__ended"), F.col(name)))
+    rows = rows.withColumn("__loaded", F.when(at("__loaded") < F.least(at("__closed"), at("__ended")), F.col("__loaded")))
+    end = F.max(F.when(F.col("__at") == F.col("__ended"), F.when(F.col("event") == "fail", "error").otherwise("terminated"))).over(run)
+    here = F.col("__at")
+    status = (
+        F.when(here >= at("__ended"), end).when(here >= at("__finished"), "done").when(here >= at("__started"), "running").when(here >= at("__closed"), "pending")
+        .when(here >= at("__loaded"), "uploading").when(here >= at("__created"), "created")
+    )
+    entered = F.lit(False)
+    for name in ("__created", "__closed", "__started", "__finished", "__ended"):
+        entered = entered | (here == at(name))
+    loads = (F.col("event") == "upload") & (here > at("__created")) & (here < F.least(at("__closed"), at("__ended")))
+    return rows.select(*by, *order, "event", status.alias("status"), (entered | F.coalesce(loads, F.lit(False))).alias("ok"))
+
+
+#: What may be asked of a run, whatever its ledger, by status.
+CLEARED_FROM = "done"
+
+
+def guarded(requests: DataFrame, runs: DataFrame, by: str = "run_id", action: str = "action") -> DataFrame:
+    """requests with ok, the status after them, and a reason: runs (run_id, status) that aren't known give unknown_run; uploads and finalising need an open run;
+    terminating a run that has ended changes nothing and is fine; outputs are cleared of runs that are done, and of no others."""
+    met = requests.join(runs.select(by, F.col("status").alias("__status"), F.lit(True).alias("__known")), by, "left")
+    status, asked = F.col("__status"), F.col(action)
+    ended = F.coalesce(status.isin(*FINAL), F.lit(False))
+    why = (
+        F.when(F.col("__known").isNull(), "unknown_run").when(asked.isin("upload", "finalize") & F.coalesce(status.isin(*CLOSED_TO_UPLOADS), F.lit(False)), F.concat(F.lit("closed_"), status))
+        .when((asked == "clear") & ~status.eqNullSafe(F.lit(CLEARED_FROM)), "not_done").when(~asked.isin("upload", "finalize", "terminate", "clear", "get"), "unknown_action")
+    )
+    after = F.when(asked == "upload", "uploading").when(asked == "finalize", "pending").when((asked == "terminate") & ~ended, "terminated").otherwise(status)
+    return met.select(*requests.columns, why.isNull().alias("ok"), F.when(why.isNull(), after).otherwise(status).alias("status"), why.alias("reason"))
 
 
 def upload_totals(files: DataFrame, by: list[str], size: str, name: str) -> DataFrame:
@@ -103,10 +140,32 @@ def report_order(marks: DataFrame, by: list[str]) -> DataFrame:
     return marks.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("importance"), "roi_id")))
 
 
+def summary(runs: DataFrame, last: str, **ledgers: DataFrame) -> DataFrame:
+    """Each run with n_<name> and last_<name> (the largest `last`) of its ledgers: partial aggregates, no ledger is gathered."""
+    out = runs
+    for name, rows in ledgers.items():
+        out = out.join(rows.groupBy("run_id").agg(F.count("*").alias(f"n_{name}"), F.max(last).alias(f"last_{name}")), "run_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)).cast("bigint"))
+    return out
+
+
 def snapshot(runs: DataFrame, **ledgers: DataFrame) -> DataFrame:
-    """Each run with its ledgers as arrays of structs, sorted by their first column after run_id; null where a run has none."""
+    """Each run with its ledgers as arrays of structs, sorted by their first column after run_id; null where a run has none. For ledgers that are shown whole: one run's rows are one value."""
     out = runs
     for name, rows in ledgers.items():
         cols = [c for c in rows.columns if c != "run_id"]
         out = out.join(rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)), "run_id", "left")
     return out
+
+
+def public_snapshot(runs: DataFrame, views: DataFrame, marks: DataFrame, root: str) -> DataFrame:
+    """What a client sees of each run: its current view and its marks with the addresses of their images, and the addresses of its overview and overlay; null where there is none.
+
+    runs (run_id, overview_path, overlay_path), views (run_id, view_seq, ..., debug_path), marks (run_id, roi_id, ..., debug_path). Maps without entries are null.
+    """
+    shown = views.withColumn("image_url", public_url(F.col("debug_path"), root))
+    now = current_view(shown)
+    now = now.select("run_id", F.struct(*[c for c in now.columns if c != "run_id"]).alias("current_view"))
+    lists = snapshot(runs.select("run_id"), roi_marks=marks.withColumn("image_url", public_url(F.col("debug_path"), root)))
+    tidy = [F.when(F.size(f.name) > 0, F.col(f.name)).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name) for f in runs.schema.fields]
+    out = runs.select(*tidy, public_url(F.col("overview_path"), root).alias("overview_image_url"), public_url(F.col("overlay_path"), root).alias("roi_candidates_image_url"))
+    return out.join(now, "run_id", "left").join(lists, "run_id", "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import half_even
+from ..sources.scratch import cut, forget
 
 #: Limits of tissue, texture, dark regions.
 TISSUE_BELOW = 240
@@ -50,54 +52,78 @@ def textured(energy: DataFrame, cutoff: float | None = TEXTURE) -> DataFrame:
     return energy if cutoff is None else energy.where(F.col("edge") >= cutoff)
 
 
-def percentile_of_counts(counts: DataFrame, pct: float, value: str = "gray", n: str = "n", by: list[str] | None = None) -> DataFrame:
-    """Smallest value at which the running count reaches pct % of all; 255 for no rows. counts: a row per value."""
+#: Up to this many distinct values of a whole table stand in one window; gray levels are 256 at most.
+FEW_VALUES = 1 << 16
+
+
+def hist_percentiles(pixels: DataFrame, wanted: dict[str, float], value: str = "gray", by: list[str] | None = None, few: int = FEW_VALUES) -> DataFrame:
+    """by, and for each name its percentile: the smallest value at which the running count reaches that share (in %) of all; 0 for a share of nothing, 255 without rows.
+
+    The histogram is a partial aggregate. Within groups, and for a whole table of few distinct values (they are counted), one window over it gives all percentiles. Many distinct values
+    of a whole table are dealt by ranges: the ranges' sums tell which range holds a percentile, and only its rows go through a window.
+    """
     by = by or []
-    running = F.sum(n).over(W.partitionBy(*by).orderBy(value)) if by else F.sum(n).over(W.partitionBy(F.lit(0)).orderBy(value))
-    total = F.sum(n).over(W.partitionBy(*by)) if by else F.sum(n).over(W.partitionBy(F.lit(0)))
-    reached = counts.withColumns({"__run": running, "__all": total}).where(F.col("__run") >= F.col("__all") * (pct / 100.0))
-    if pct <= 0:  # zero counts come first: the lowest gray level there is
-        return counts.groupBy(*by).agg(F.lit(0).alias("threshold"))
-    grouped = reached.groupBy(*by) if by else reached.groupBy()
-    return grouped.agg(F.coalesce(F.min(value), F.lit(255)).alias("threshold"))
+    counts = pixels.groupBy(*by, value).agg(F.count("*").alias("__n"))
+    if not by:
+        counts = cut(counts, "histogram")
+        if counts.count() > few:
+            return _percentiles_by_range(counts, wanted, value)
+    part = W.partitionBy(*(by or [F.lit(0)]))
+    run = counts.withColumns({"__run": F.sum("__n").over(part.orderBy(value)), "__all": F.sum("__n").over(part)})
+    at = [(F.lit(0) if p <= 0 else F.coalesce(F.min(F.when(F.col("__run") >= F.col("__all") * (p / 100.0), F.col(value))), F.lit(255))).alias(name) for name, p in wanted.items()]
+    return run.groupBy(*by).agg(*at)
+
+
+def _percentiles_by_range(counts: DataFrame, wanted: dict[str, float], value: str) -> DataFrame:
+    placed = cut(counts.repartitionByRange(value).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = placed.groupBy("__part").agg(F.sum("__n").alias("n"), F.min(value).alias("low"))
+    order = W.partitionBy(F.lit(0)).orderBy("low")  # a row per partition
+    parts = F.broadcast(parts.select("__part", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(order).alias("until"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("__all")))
+    goals = [F.lit(p / 100.0) * F.col("__all") for p in wanted.values() if p > 0]
+    holds = F.lit(False)
+    for goal in goals:
+        holds = holds | ((F.col("before") < goal) & (F.col("until") >= goal))
+    near = placed.join(parts.where(holds), "__part")
+    run = near.withColumn("__run", F.col("before") + F.sum("__n").over(W.partitionBy("__part").orderBy(value)))
+    at = [(F.lit(0) if p <= 0 else F.coalesce(F.min(F.when(F.col("__run") >= F.col("__all") * (p / 100.0), F.col(value))), F.lit(255))).alias(name) for name, p in wanted.items()]
+    return run.agg(*at)
 
 
 def hist_percentile(pixels: DataFrame, pct: float, value: str = "gray", by: list[str] | None = None) -> DataFrame:
-    """The same from raw values: the histogram is a partial aggregate, the window sees at most one row per gray level."""
-    counts = pixels.groupBy(*(by or []), value).agg(F.count("*").alias("n"))
-    return percentile_of_counts(counts, pct, value, "n", by)
+    return hist_percentiles(pixels, {"threshold": pct}, value, by)
 
 
-def components(cells: DataFrame) -> DataFrame:
+def components(cells: DataFrame, bucket: int = 1024) -> DataFrame:
     """(x, y, region) of 4-connected cells (x, y) of one mask; region is the smallest y * 2**32 + x of its cells.
 
     Rows first collapse to horizontal runs with one window, so the graph that iterates has a node per run. Runs that touch
-    those of the row below are found by an equality join on the row; labels then shrink to the minimum over the links, with
-    a jump to the label's own label each round. Every round is written to the shared folder, so no lineage grows.
+    those of the row below are found by an equality join on the row and on stretches of `bucket` cells, so a wide row's runs meet those near them only; labels
+    then shrink to the minimum over the links, with a jump to the label's own label each round. Every round is written to the shared folder, so no lineage grows; what no later
+    round reads is deleted.
     """
-    from ..sources.scratch import cut
-
     start = F.when(F.col("x") - F.lag("x").over(W.partitionBy("y").orderBy("x")) == 1, 0).otherwise(1)
     cells = cells.select(F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y")).distinct()
     runs = cells.withColumn("__s", start).withColumn("__run", F.sum("__s").over(W.partitionBy("y").orderBy("x")))
     code = F.shiftleft(F.col("y"), 32) + F.col("x0")
     spans = runs.groupBy("y", "__run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).select("y", "x0", "x1", code.alias("node"))
     spans = cut(spans, "spans")
-    a, b = spans.alias("a"), spans.alias("b")
+    stretches = F.explode(F.sequence(F.floor(F.col("x0") / bucket), F.floor(F.col("x1") / bucket)))
+    laid = spans.withColumn("at", stretches)
+    a, b = laid.alias("a"), laid.alias("b")
     touch = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1"))
-    links = a.join(b, (F.col("b.y") == F.col("a.y") + 1) & touch).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    links = a.join(b, (F.col("b.y") == F.col("a.y") + 1) & (F.col("a.at") == F.col("b.at")) & touch).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     links = cut(links.union(links.select("v", "u")), "links")
-    label = cut(spans.select("node", F.col("node").alias("label")), "labels")
+    table = cut(spans.select("node", F.col("node").alias("old"), F.col("node").alias("label")), "labels")
     changed = True
     while changed:
+        label = table.select("node", "label")
         near = links.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
         moved = label.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = moved.select(F.col("node").alias("at"), F.col("label").alias("up"))
-        new = moved.join(jump, F.col("label") == F.col("at")).select("node", "old", F.least("label", "up").alias("label"))
-        new = cut(new, "labels")
-        changed = not new.where("old != label").isEmpty()
-        label = new.select("node", "label")
-    where = spans.join(label, "node").select("y", "x0", "x1", F.col("label").alias("region"))
+        before, table = table, cut(moved.join(jump, F.col("label") == F.col("at")).select("node", "old", F.least("label", "up").alias("label")), "labels")
+        forget(before)
+        changed = not table.where("old != label").isEmpty()
+    where = spans.join(table.select("node", "label"), "node").select("y", "x0", "x1", F.col("label").alias("region"))
     return where.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y", "region")
 
 
@@ -112,28 +138,34 @@ def boxes(labelled: DataFrame, by: list[str], least: int = 0, top: int | None =
     return out
 
 
+def _labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Region of each distinct cell, sorted by (y, x): runs of a row are nodes, and labels shrink over runs that touch until none moves."""
+    new = np.r_[True, (np.diff(y) != 0) | (np.diff(x) != 1)]
+    run = np.cumsum(new) - 1
+    code = (y.astype(np.int64) << 32) + x
+    # the cell above, where there is one, links two runs
+    at = np.searchsorted(code, code - (np.int64(1) << 32))
+    hit = np.flatnonzero(code[np.minimum(at, len(code) - 1)] == code - (np.int64(1) << 32))
+    u, v = run[hit], run[at[hit]]
+    label = np.arange(run[-1] + 1)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, u, label[v])
+        np.minimum.at(low, v, label[u])
+        low = low[low]
+        if (low == label).all():
+            return code[new][label][run]
+        label = low
+
+
 def components_per_image(cells: DataFrame, by: str = "image") -> DataFrame:
-    """(image, x, y, region) where each image's mask is bounded (a thumbnail): one union-find per image in one task."""
+    """(image, x, y, region) where each image's mask is bounded (a thumbnail): whole arrays of one image in one task."""
     kind = cells.schema[by].dataType.simpleString()
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = {(x, y): i for i, (y, x) in enumerate(sorted({(int(y), int(x)) for x, y in zip(pdf["x"], pdf["y"], strict=True)}))}
-        root = list(range(len(pts)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        names = list(pts)
-        for (x, y), i in pts.items():
-            for q in ((x - 1, y), (x, y - 1)):
-                if q in pts:
-                    p, r = find(i), find(pts[q])
-                    root[max(p, r)] = min(p, r)
-        rows = [(pdf[by].iloc[0], x, y, (names[find(i)][1] << 32) + names[find(i)][0]) for (x, y), i in pts.items()]
-        return pd.DataFrame(rows, columns=[by, "x", "y", "region"])
+        pts = pdf[["y", "x"]].astype(np.int64).drop_duplicates().sort_values(["y", "x"])
+        x, y = pts["x"].to_numpy(), pts["y"].to_numpy()
+        return pd.DataFrame({by: pdf[by].iloc[0], "x": x, "y": y, "region": _labels(x, y)})
 
     return cells.groupBy(by).applyInPandas(label, f"{by} {kind}, x bigint, y bigint, region bigint")
 

@@ -90,13 +90,14 @@ def described(picked: DataFrame, side: int, view: tuple[int, int, int, int]) ->
     return picked.withColumn("g", grid_candidate(F.col("cx") - half, F.col("cy") - half, side, view)).select(*picked.columns, "g.*")
 
 
-def fallback_patches(pixels: DataFrame, w: int, h: int, parts: int = 7, top_k: int = TOP_K) -> DataFrame:
-    """Candidates of a view from its image alone: patches of (x, y, gray) scored by tissue and edges, spread greedily on the grid."""
+def fallback_patches(pixels: DataFrame, w: int, h: int, parts: int = 7, top_k: int = TOP_K, by: list[str] | None = None) -> DataFrame:
+    """Candidates of views from their images (by, x, y, gray) alone, all of w by h pixels: patches scored by tissue and edges, spread greedily on the grid."""
+    by = by or []
     pw, ph = max(16, w // parts), max(16, h // parts)
-    g = pixels.select("x", "y", (F.col("gray") / 255.0).alias("g"), F.floor(F.col("x") / pw).alias("gx"), F.floor(F.col("y") / ph).alias("gy")).where(f"gx < {parts} and gy < {parts}")
-    right = F.col("g") - F.lag("g").over(W.partitionBy("gx", "y").orderBy("x"))
-    down = F.col("g") - F.lag("g").over(W.partitionBy("gy", "x").orderBy("y"))
-    stats = g.withColumns({"dx": F.abs(right), "dy": F.abs(down)}).groupBy("gx", "gy").agg(
+    g = pixels.select(*by, "x", "y", (F.col("gray") / 255.0).alias("g"), F.floor(F.col("x") / pw).alias("gx"), F.floor(F.col("y") / ph).alias("gy")).where(f"gx < {parts} and gy < {parts}")
+    right = F.col("g") - F.lag("g").over(W.partitionBy(*by, "gx", "y").orderBy("x"))
+    down = F.col("g") - F.lag("g").over(W.partitionBy(*by, "gy", "x").orderBy("y"))
+    stats = g.withColumns({"dx": F.abs(right), "dy": F.abs(down)}).groupBy(*by, "gx", "gy").agg(
         F.avg((F.col("g") < 0.92).cast("double")).alias("tissue"), (F.coalesce(F.avg("dx"), F.lit(0.0)) + F.coalesce(F.avg("dy"), F.lit(0.0))).alias("edge2")
     )
     x0, y0 = F.col("gx") * pw, F.col("gy") * ph
@@ -104,10 +105,10 @@ def fallback_patches(pixels: DataFrame, w: int, h: int, parts: int = 7, top_k: i
     good = stats.where((x1 - x0 >= 8) & (y1 - y0 >= 8) & (F.col("tissue") >= 0.08))
     grid = lambda v, size: F.greatest(F.least(half_even(v / max(1, size - 1) * 999.0), F.lit(999)), F.lit(0))
     rows = good.select(
-        (F.col("gy") * parts + F.col("gx")).cast("bigint").alias("id"), (0.70 * F.col("tissue") + 0.30 * F.col("edge2") / 2.0).alias("score"),
+        *by, (F.col("gy") * parts + F.col("gx")).cast("bigint").alias("id"), (0.70 * F.col("tissue") + 0.30 * F.col("edge2") / 2.0).alias("score"),
         grid((x0 + x1) / 2.0, w).alias("cx"), grid((y0 + y1) / 2.0, h).alias("cy"),
     )
-    return suppress(rows, [], 0.0, FALLBACK_SEPARATION, top_k, max_iou=2.0)
+    return suppress(rows, by, 0.0, FALLBACK_SEPARATION, top_k, max_iou=2.0)
 
 
 def nearest_candidate(points: DataFrame, candidates: DataFrame, by: list[str], limit: float = SNAP) -> DataFrame:

@@ -21,6 +21,8 @@ TOOLS = ("overview", "zoom_current", "zoom_full", "pan", "view_info", "mark_roi"
 ACCESS = {"wsi": TOOLS, "tile": tuple(t for t in TOOLS if t not in ("mark_roi", "discard_last_roi")), "aml": tuple(t for t in TOOLS if t != "discard_last_roi")}
 NORM, VIEW = ("n0", "n1", "n2", "n3"), ("vx", "vy", "vw", "vh")
 NO_VIEW = "no_current_view"
+#: Where a view's candidates come from.
+INDEX_SOURCE, FALLBACK_SOURCE = "uni2_knn", "fallback_heuristic"
 
 
 def access(requests: DataFrame, agent: str = "agent", tool: str = "tool") -> DataFrame:
@@ -103,14 +105,14 @@ def candidates(views: DataFrame, tiles: DataFrame, side: int, top_k: int = spati
     picked = spatial.suppress(seen, ["view_id"], side, max(64, min_separation), top_k)
     boxes = v.select("view_id", *"xywh")
     g = picked.join(boxes, "view_id").withColumn("g", G.grid_candidate(F.col("cx") - side / 2.0, F.col("cy") - side / 2.0, side, tuple(F.col(c) for c in "xywh")))
-    return g.select("view_id.run_id", "view_id.view_seq", "rank", "id", "score", "g.*", F.lit("knn").alias("source"))
+    return g.select("view_id.run_id", "view_id.view_seq", "rank", "id", "score", "g.*", F.lit(INDEX_SOURCE).alias("source"))
 
 
 def with_fallback(views: DataFrame, found: DataFrame, fallback: DataFrame) -> DataFrame:
     """Candidates of the index, and for views without any those of the image heuristic, with their source."""
     keys = ["run_id", "view_seq"]
     rest = fallback.join(found.select(*keys).distinct(), keys, "left_anti").join(views.select(*keys), keys, "left_semi")
-    return found.withColumn("source", F.lit("knn")).unionByName(rest.withColumn("source", F.lit("fallback_heuristic")), allowMissingColumns=True)
+    return found.withColumn("source", F.lit(INDEX_SOURCE)).unionByName(rest.withColumn("source", F.lit(FALLBACK_SOURCE)), allowMissingColumns=True)
 
 
 def mark_roi(requests: DataFrame, views: DataFrame, slides: DataFrame, found: DataFrame) -> DataFrame:
@@ -146,6 +148,21 @@ def discard_last(marks: DataFrame, requests: DataFrame) -> DataFrame:
     return ledger.live_marks(both, ["run_id"], ["seq"])
 
 
+def with_candidates(views: DataFrame, found: DataFrame) -> DataFrame:
+    """views (run_id, view_seq, ...) with their candidates in the order of rank, how many there are, and where they come from; no candidates are an empty array and no source."""
+    keys, own = ["run_id", "view_seq"], [c for c in found.columns if c not in ("run_id", "view_seq", "source")]
+    source = F.first("source") if "source" in found.columns else F.first(F.lit(INDEX_SOURCE))
+    lists = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", *[c for c in own if c != "rank"]))).alias("candidates"), source.alias("candidate_source"))
+    out = views.join(lists, keys, "left")
+    return out.withColumn("candidates", F.coalesce("candidates", F.array())).withColumn("candidate_count", F.size("candidates").cast("bigint"))
+
+
+def shown(views: DataFrame, slides: DataFrame, found: DataFrame, fractions: DataFrame | None = None) -> DataFrame:
+    """What the view tools answer: new views rendered, with their candidates, and, with tissue fractions (run_id, view_seq, tissue_fraction), a warning for views of little tissue."""
+    out = with_candidates(rendered(views, slides), found)
+    return out if fractions is None else with_tissue(out, fractions)
+
+
 def view_info(requests: DataFrame, views: DataFrame, slides: DataFrame, found: DataFrame) -> DataFrame:
     """The current view of each request, rendered, with its candidates and their hints."""
     now = at_view(requests, views).where("view_seq is not null").select("run_id", "seq", "view_seq", *[F.col(f"v{c}").alias(c) for c in "xywh"])

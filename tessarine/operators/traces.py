@@ -59,3 +59,8 @@ def tool_calls(log: DataFrame, file: str = "file") -> DataFrame:
     calls = each.select(file, F.explode("m.tool_calls").alias("c")).select(file, F.col("c.id").alias("call_id"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments")).distinct()
     results = each.where("m.role = 'tool'").groupBy(file, F.col("m.tool_call_id").alias("call_id")).agg(F.first("m.content").alias("result"))
     return calls.join(results, [file, "call_id"], "left")
+
+
+def once(calls: DataFrame, by: list[str], order: list[str], name: str = "injected") -> DataFrame:
+    """calls with a flag that is true for the first of each run only: what is added to a run's messages once."""
+    return calls.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)) == 1)

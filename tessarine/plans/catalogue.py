@@ -334,9 +334,7 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag ORDER BY gray) AS run, su
 SELECT l_returnflag, min(gray) FILTER (WHERE run >= total * 0.85) AS p85, min(gray) FILTER (WHERE run >= total * 0.45) AS p45 FROM c GROUP BY 1""")
 def hist_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = load(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("gray"))
-    counts = px.groupBy("l_returnflag", "gray").agg(F.count("*").alias("n"))
-    at = lambda p, n: raster.percentile_of_counts(counts, p, by=["l_returnflag"]).withColumnRenamed("threshold", n)
-    return at(85.0, "p85").join(at(45.0, "p45"), "l_returnflag")
+    return raster.hist_percentiles(px, {"p85": 85.0, "p45": 45.0}, by=["l_returnflag"])
 
 
 @query(f"""WITH RECURSIVE {CELLS}, r AS (SELECT gray, row_number() OVER (ORDER BY gray) AS i, count(*) OVER () AS n FROM cells), cut AS (SELECT min(gray) AS t FROM r WHERE i >= n * 0.45),
@@ -699,7 +697,7 @@ def stream_fresh_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by a windowed stream with a watermark; an extension, as the feeds themselves have no event time."""
     source = spark.readStream.schema(load(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
-    out = feeds.drained(feeds.windowed(source, "ts", "event_type", "value"), "hours")
+    out = feeds.drained(feeds.windowed(source, "ts", "event_type", "value"), "hours", by=["window_start", "event_type"])
     return out.select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
@@ -736,5 +734,5 @@ SELECT s.run_id, n_steps, last_step, coalesce(n_marks, 0) AS n_marks FROM s LEFT
 def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.steps(spark, sf_dir)
     marks = s.where("event_type = 'purchase'").select("run_id", "event_id")
-    snap = ledger.snapshot(s.select("run_id").distinct(), steps=s.select("run_id", "event_id"), marks=marks)
-    return snap.select("run_id", F.size("steps").cast("bigint").alias("n_steps"), F.element_at("steps", -1)["event_id"].alias("last_step"), F.coalesce(F.size("marks"), F.lit(0)).cast("bigint").alias("n_marks"))
+    facts = ledger.summary(s.select("run_id").distinct(), "event_id", steps=s.select("run_id", "event_id"), marks=marks)
+    return facts.select("run_id", "n_steps", F.col("last_steps").alias("last_step"), "n_marks")

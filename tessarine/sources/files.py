@@ -54,6 +54,20 @@ def first_examples(paths: DataFrame, most: int, path: str = "path") -> DataFrame
     return paths.where(extension(F.col(path)).isin(*IMAGE_EXTS)).orderBy(path).limit(most)
 
 
+def mirax_candidates(paths: DataFrame, path: str = "path") -> DataFrame:
+    """Rows of either MIRAX ending, ending by ending as two listings put together are."""
+    out = None
+    for i, ext in enumerate(MIRAX_EXTS):
+        part = paths.where(F.lower(path).endswith(ext)).withColumn("listed", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mirax_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, modified) of the files of either ending below a folder, in one listing."""
+    return listing(spark, folder, glob="*.{" + ",".join(sorted({f(e[1:]) for e in MIRAX_EXTS for f in (str.lower, str.upper)})) + "}")
+
+
 def mirax_rank(path: Column, has_sibling_folder: Column) -> Column:
     """Larger is better: a data folder beside it, then a shallow path, then a short name, then the smaller path."""
     return F.struct(has_sibling_folder.cast("int").alias("a"), (-F.size(F.split(path, "/"))).alias("b"), (-F.length(path)).alias("c"))
@@ -102,8 +116,9 @@ def validate_bundles(files: DataFrame, by: str = "run_id", path: str = "path") -
 
 
 def zip_members(spark: SparkSession, folder: str, base: str = "extracted") -> DataFrame:
-    """(archive, member, safe, bytes, content) of the zip files below a folder; members that leave base have no content."""
+    """(archive, member, safe, bytes, content) of the zip files below a folder; members that would leave base are never opened. Members stream out one by one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("safe", pa.bool_()), ("bytes", pa.int64()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +126,12 @@ def zip_members(spark: SparkSession, folder: str, base: str = "extracted") -> Da
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for info in z.infolist():
                         if not info.is_dir():
-                            yield pa.RecordBatch.from_pylist([{"archive": path, "member": info.filename, "bytes": info.file_size, "content": z.read(info)}], pa.schema([("archive", pa.string()), ("member", pa.string()), ("bytes", pa.int64()), ("content", pa.binary())]))
+                            name = info.filename
+                            safe = not name.startswith("/") and ".." not in name.split("/")
+                            yield pa.RecordBatch.from_pylist([{"archive": path, "member": name, "safe": safe, "bytes": info.file_size, "content": z.read(info) if safe else None}], schema)
 
-    rows = files.mapInArrow(run, "archive string, member string, bytes bigint, content binary")
-    safe = is_safe_relative(F.col("member")) & is_within(F.concat(F.lit(base + "/"), F.col("member")), base)
+    rows = files.mapInArrow(run, "archive string, member string, safe boolean, bytes bigint, content binary")
+    safe = F.col("safe") & is_safe_relative(F.col("member")) & is_within(F.concat(F.lit(base + "/"), F.col("member")), base)
     return rows.select("archive", "member", safe.alias("safe"), "bytes", F.when(safe, F.col("content")).alias("content"))
 
 
@@ -136,14 +153,59 @@ MAGIC = ((b"\x89PNG", "png"), (b"\xff\xd8\xff", "jpeg"), (b"II*\x00", "tiff"), (
 
 
 def probe(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, kind, error) of the files below a folder by their first bytes: an unreadable file is a row, not a failure. Spark's reader passes over empty files."""
+    """(path, kind, opened, error) of the files below a folder: what their first bytes say, and, of kinds that Spark's image reader decodes, whether they decode.
+    An unreadable file is a row, not a failure. Spark's readers pass over empty files."""
     head = F.substring(F.hex("content"), 1, 16)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     kind = F.lit(None).cast("string")
     for magic, name in MAGIC:
         kind = F.when(head.startswith(magic.hex().upper()), name).otherwise(kind)
-    error = F.when(kind.isNull(), "unsupported_or_missing_image")
-    return files.select("path", kind.alias("kind"), error.alias("error"))
+    decoded = spark.read.format("image").option("recursiveFileLookup", True).load(folder).select(F.col("image.origin").alias("__origin"), (F.col("image.height") > 0).alias("opened"))
+    bare = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    met = files.select("path", kind.alias("kind")).join(decoded, bare(F.col("path")) == bare(F.col("__origin")), "left")
+    opened = F.when(F.col("kind").isin("png", "jpeg"), F.coalesce("opened", F.lit(False)))
+    error = F.when(F.col("kind").isNull(), "unsupported_or_missing_image").when(~F.coalesce(opened, F.lit(True)), "unreadable_image")
+    return met.select("path", "kind", opened.alias("opened"), error.alias("error"))
+
+
+def copy_images(spark: SparkSession, names: DataFrame, folder: str, path: str = "path", copy: str = "copy") -> int:
+    """Copy the images of a report to folder by their new names (copy_names), skipping those that are gone; how many were copied. A report's images are few, and the file system copies them without this process reading them."""
+    fs = _FileSystem(spark, folder)
+    done = 0
+    for r in names.select(path, copy).toLocalIterator():
+        done += fs.copy(r[0], f"{folder.rstrip('/')}/{r[1]}")
+    return done
+
+
+#: Generated sub-folders of a run, which clearing its outputs deletes.
+GENERATED = ("wsi_reports", "wsi_debug", "dark", "traces", "Selected_Tiles", "embeddings", "tile_cache")
+
+
+def delete_generated(spark: SparkSession, base: str, run_id: str, folders: tuple[str, ...] = GENERATED) -> list[str]:
+    """Delete a run's generated folders (or its uploads, folders=("uploads",)), which must lie strictly below base; the names of those that were there."""
+    name = run_id.strip("/")
+    if not name or ".." in name.split("/") or run_id.startswith("/"):
+        return []
+    fs = _FileSystem(spark, base)
+    return [f for f in folders if fs.delete(f"{base.rstrip('/')}/{name}/{f}")]
+
+
+class _FileSystem:
+    """The few file operations that Spark has no DataFrame for, through the file system that Spark itself uses."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.to = self.of(folder)
+
+    def of(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path).getFileSystem(self.conf)
+
+    def copy(self, source: str, target: str) -> bool:
+        at, fs = self.jvm.org.apache.hadoop.fs.Path(source), self.of(source)
+        return bool(fs.exists(at)) and bool(self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, self.to, self.jvm.org.apache.hadoop.fs.Path(target), False, self.conf))
+
+    def delete(self, path: str) -> bool:
+        return bool(self.to.delete(self.jvm.org.apache.hadoop.fs.Path(path), True))
 
 
 def existing(rows: DataFrame, listed: DataFrame, path: str = "path") -> DataFrame:

@@ -17,6 +17,9 @@ def synthetic(path: str, x: int, y: int, level: int, w: int, h: int) -> bytes:
     return bytes(((x + i * step) // 256 * 40 + (y + j * step) // 256 * 24) % 256 for j in range(h) for i in range(w))
 
 
+DECODER = f"{__name__}:synthetic"
+
+
 class _Region(InputPartition):
     def __init__(self, x: int, y: int, w: int, h: int):
         self.x, self.y, self.w, self.h = x, y, w, h
@@ -29,7 +32,7 @@ class _Reader(DataSourceReader):
         self.w, self.h = get("width", 0), get("height", 0)
         if self.w <= 0 or self.h <= 0:
             raise FileNotFoundError(f"no image at {self.path}: options width and height are missing")
-        module, _, name = options.get("decoder", f"{__name__}:synthetic").partition(":")
+        module, _, name = options.get("decoder", DECODER).partition(":")
         self.module, self.name = module, name
 
     def partitions(self) -> list[_Region]:

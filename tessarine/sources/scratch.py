@@ -22,4 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessarine_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by cut() that no later plan reads."""
+    path = getattr(df, "_tessarine_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

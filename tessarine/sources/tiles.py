@@ -53,22 +53,29 @@ def as_matrix(value: object) -> np.ndarray:
 
 
 def embed(tiles: DataFrame, extractor: Extractor, image: str = "image", batch: int = 32, most: int = 64) -> DataFrame:
-    """tiles without their image, with features array<float> and extractor_id. Batches stream; a worker holds one batch of images at a time."""
+    """tiles without their image, with features array<float> and extractor_id. The model sees `batch` images at a time, `most` at most; a worker holds one Arrow batch of them."""
     names = [c for c in tiles.columns if c != image]
-    spark = tiles.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(batch, most)))
     schema = ", ".join(f"`{c}` {tiles.schema[c].dataType.simpleString()}" for c in names) + ", features array<float>, extractor_id string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = extractor.load()
-        for rows in batches:
-            found = as_matrix(model(rows.column(len(names)).to_pylist())).astype(np.float32) if rows.num_rows else np.zeros((0, extractor.width), np.float32)
-            features = pa.array(list(found), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], features, pa.array([extractor.identifier] * rows.num_rows)], [*names, "features", "extractor_id"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, min(batch, most)):
+                rows = whole.slice(a, min(batch, most))
+                found = as_matrix(model(rows.column(len(names)).to_pylist())).astype(np.float32)
+                features = pa.array(list(found), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], features, pa.array([extractor.identifier] * rows.num_rows)], [*names, "features", "extractor_id"])
 
     return tiles.select(*names, image).mapInArrow(run, schema)
 
 
+def reference_vectors(tiles: DataFrame, extractor: Extractor, image: str = "image", batch: int = 64) -> DataFrame:
+    """(label, path, vec) of labelled reference tiles: inference in batches of 64, then unit rows, each beside its tile's label and path."""
+    from ..operators.vectors import doubles, unit
+
+    return embed(tiles.select("label", "path", image), extractor, image, batch).select("label", "path", unit(doubles(F.col("features")), added=True).alias("vec"))
+
+
 def cached(spark: SparkSession, folder: str, params: dict, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of these parameters below folder, made and committed once; every parameter is part of its name."""
     key = spark.range(1).select(params_hash(*[F.lit(params[k]).alias(k) for k in sorted(params)]).alias("h")).first().h
@@ -87,6 +94,19 @@ def coordinates(names: DataFrame, name: str = "name", ext: str = "jpg") -> DataF
     return names.select("*", part(1).alias("x_um"), part(2).alias("y_um")).where("x_um is not null")
 
 
+def zip_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive, member, x_um, y_um, tile_um, image) of the tile caches below a folder: zip files of tiles named by their place, with the parameters of their making as tiler_params.json (tile_size_um, and tile_ext, jpg if it isn't there)."""
+    from .files import zip_members
+
+    members = zip_members(spark, folder)
+    params = members.where("member = 'tiler_params.json'").select("archive", F.from_json(F.decode("content", "utf-8"), "tile_size_um double, tile_ext string").alias("p"))
+    met = members.where("safe").join(params, "archive").withColumn("ext", F.coalesce("p.tile_ext", F.lit("jpg")))
+    number = r"([-+]?\d*\.?\d+)"
+    part = lambda i: F.nullif(F.regexp_extract(F.col("bare"), rf"^tile_\({number}, {number}\)$", i), F.lit("")).cast("double")
+    tiles = met.where(F.col("member").endswith(F.concat(F.lit("."), F.col("ext")))).withColumn("bare", F.expr("substring(member, 1, length(member) - length(ext) - 1)"))
+    return tiles.select("archive", "member", part(1).alias("x_um"), part(2).alias("y_um"), F.col("p.tile_size_um").alias("tile_um"), F.col("content").alias("image")).where("x_um is not null")
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Decoded images: path, width, height, channels and raw bytes (blue, green, red)."""
     rows = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder).select("image.*")

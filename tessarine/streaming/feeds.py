@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.ledger import TRANSITIONS
 from ..sources.scratch import shared_folder
@@ -89,19 +90,39 @@ def windowed(events: DataFrame, at: str, by: str, value: str, width: str = "1 ho
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), by, "n", "total")
 
 
-def drained(stream: DataFrame, what: str) -> DataFrame:
-    """Run a stream over all there is, into files of the shared folder with their own checkpoint, and read these. Aggregates come out as the last batch updates them."""
+def drained(stream: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
+    """Run a stream over all there is, into files of the shared folder with their own checkpoint, and read these. Of an aggregate, whose rows come out anew with each
+    batch that changes them, `by` names the keys: each key's row of its newest batch is the result."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    schema = stream.schema
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("update" if "Aggregate" in stream._jdf.queryExecution().analyzed().toString() else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
-    rows = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
-    return rows.select(*schema.names)
+    stream.writeStream.outputMode("update" if by else "append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    names = stream.columns
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
+    if not by:
+        return rows.select(*names)
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*[c for c in names if c not in by]), "batch").alias("r")).select(*by, "r.*").select(*names)
+
+
+def batch_progress(done: DataFrame, by: list[str], order: str, batch: int = 32) -> DataFrame:
+    """Rows done in order, with how many rows and how many batches (the last may be short) are done so far, and in all."""
+    run = W.partitionBy(*by).orderBy(order)
+    number = F.row_number().over(run)
+    every = F.count("*").over(W.partitionBy(*by))
+    return done.withColumns({"done": number.cast("bigint"), "batches": F.ceil(number / F.lit(batch)), "all": every, "all_batches": F.ceil(every / F.lit(batch))})
+
+
+def phase_events(done: DataFrame, by: list[str], order: str, phase: str, batch: int = 32) -> DataFrame:
+    """(by, phase, status, processed, processed_batches) as a progress callback reports them: running at nothing and after each batch, and done at the end."""
+    rows = batch_progress(done, by, order, batch)
+    ends = rows.where((F.col("done") % batch == 0) | (F.col("done") == F.col("all")))
+    total = done.groupBy(*by).agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("bigint")
+    event = lambda status, n, b: [*by, F.lit(phase).alias("phase"), F.lit(status).alias("status"), n.alias("processed"), b.alias("processed_batches")]
+    return total.select(*event("running", zero, zero)).union(ends.select(*event("running", F.col("done"), F.col("batches")))).union(total.select(*event("done", F.col("n"), F.ceil(F.col("n") / F.lit(batch)))))
 
 
 def rebuild_needed(shown: DataFrame, incoming: DataFrame, by: str, pos: str, key: str) -> DataFrame:

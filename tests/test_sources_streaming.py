@@ -139,16 +139,136 @@ def test_vector_index(spark, tmp_path):
 
 
 def test_report(spark, tmp_path):
-    runs = spark.createDataFrame([("r", "ask", "found"), ("q", None, None)], "run_id string, prompt string, final_text string")
-    marks = spark.createDataFrame([("r", 1, "a", "", 1, [1, 2, 3, 4], 0.5), ("r", 2, "b", "note", 3, None, None)], "run_id string, roi_id int, label string, note string, importance int, bbox array<int>, tissue_fraction double")
-    steps = spark.createDataFrame([("r", 2, "pan", " "), ("r", 1, "zoom", "look")], "run_id string, step_index int, tool string, nav_reason string")
-    out = {r.run_id: r.report for r in report.markdown_report(runs, marks, steps).collect()}
-    assert out["r"].index("### ROI 2: b") < out["r"].index("### ROI 1: a") and "x=1, y=2, w=3, h=4" in out["r"] and "2. `pan` — (none provided)" in out["r"]
-    assert "_No ROIs were kept in this run._" in out["q"]
+    runs = spark.createDataFrame([("r", " ask", "found ", "because"), ("q", None, None, None)], "run_id string, prompt string, final_text string, reasoning string")
+    marks = spark.createDataFrame(
+        [("r", 1, "a", "", None, [1, 2, 3, 4], 0.5, None, None, None, 2.0, ""), ("r", 2, "b", "note", 3, None, None, 2, 100.4, 99.6, None, "images/b.jpg")],
+        "run_id string, roi_id int, label string, note string, importance int, bbox array<int>, tissue_fraction double, view_level int, field_width_um double, field_height_um double, effective_magnification double, image string",
+    )
+    steps = spark.createDataFrame([("r", 2, "pan", "", None, None, None), ("r", 1, "zoom", "look", 12, 7, "x")], "run_id string, step_index int, tool string, nav_reason string, candidate_count int, index_tiles int, image string")
+    out = {r.run_id: r for r in report.markdown_report(runs, marks, steps).collect()}
+    assert out["r"].report == """# Report (r)
+
+## Prompt
+
+```text
+ ask
+```
+
+## Final Report
+
+found 
+
+## Model Reasoning
+
+```text
+because
+```
+
+## Regions of Interest (ROIs)
+
+### ROI 2: b
+
+- **Importance**: 3
+- **Note**: note
+- **View level**: 2
+- **Approx field size**: ~100 × 100 µm
+
+![ROI 2](images/b.jpg)
+
+### ROI 1: a
+
+- **Importance**: 1
+- **BBox (level 0)**: x=1, y=2, w=3, h=4
+- **Tissue fraction**: 0.50
+- **Effective magnification (approx)**: ~2.0x
+
+## Navigation Steps
+
+### Step 1: `zoom`
+
+- **Reason**: look
+- **Top-K candidates in this view**: 12
+- **Candidate index meta**: extractor=None, tiles=7, feature_dim=None
+
+![Step 1](x)
+
+### Step 2: `pan`
+
+- **Reason**: (no reason provided)
+"""
+    assert out["r"].summary == "Prompt\nask\n\nFinal Report\nfound\n"
+    assert "_No ROIs were kept in this run._\n" in out["q"].report and out["q"].report.endswith("_No navigation steps recorded._\n") and "Reasoning" not in out["q"].report
     report.write_reports(report.markdown_report(runs, marks, steps), str(tmp_path / "reports"))
     assert spark.read.text(str(tmp_path / "reports")).count() > 10
 
 
+def test_image_copies_and_deletions(spark, tmp_path):
+    for name in ("a/v.jpg", "b/v.jpg", "c/w.jpg"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    rows = spark.createDataFrame([("r", i, str(tmp_path / n)) for i, n in enumerate(["b/v.jpg", "a/v.jpg", "b/v.jpg", "gone.jpg"])], "run_id string, seq int, path string")
+    (tmp_path / "images").mkdir()
+    assert files.copy_images(spark, files.copy_names(rows, ["run_id"]), str(tmp_path / "images")) == 2
+    assert {f.name: f.read_text() for f in (tmp_path / "images").glob("*.jpg")} == {"v.jpg": "b/v.jpg", "v_1.jpg": "a/v.jpg"}
+    for name in ("out/r1/dark/x", "out/r1/uploads/y", "out/r1/traces/z", "out/r2/dark/x", "dark/x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    assert files.delete_generated(spark, str(tmp_path / "out"), "r1") == ["dark", "traces"]
+    assert (tmp_path / "out/r1/uploads/y").exists() and (tmp_path / "out/r2/dark/x").exists()
+    for bad in ("..", "", "/", "../out/r2", "r2/../.."):
+        assert files.delete_generated(spark, str(tmp_path / "out"), bad) == []
+    assert files.delete_generated(spark, str(tmp_path / "out"), "r1", ("uploads",)) == ["uploads"] and (tmp_path / "dark/x").exists()
+
+
+def test_zip_tile_cache(spark, tmp_path):
+    for name, ext in (("a", None), ("b", "png")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("tiler_params.json", json.dumps({"tile_size_um": 256.0, "tile_size_px": 224, **({"tile_ext": ext} if ext else {})}))
+            for member in ("tile_(0.5, -256).jpg", "tile_(512, 0).png", "tile_(1e3, 0).jpg", "x/tile_(1, 1).jpg", "other.jpg"):
+                z.writestr(member, member)
+    got = sorted((r.archive[-5:], r.x_um, r.y_um, r.tile_um, bytes(r.image)) for r in tiles.zip_tiles(spark, str(tmp_path)).collect())
+    assert got == [("a.zip", 0.5, -256.0, 256.0, b"tile_(0.5, -256).jpg"), ("b.zip", 512.0, 0.0, 256.0, b"tile_(512, 0).png")]
+
+
+def test_mirax_listing(spark, tmp_path):
+    for name in ("a.mrxs", "d/b.MRSX", "c.svs", "mrxs"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert sorted(r.path.split("/")[-1] for r in files.mirax_listing(spark, str(tmp_path)).collect()) == ["a.mrxs", "b.MRSX"]
+
+
+def stripes(path, x, y, level, w, h):
+    """Grays that change with every pixel on the left, and white on the right."""
+    step = 1 << level
+    return bytes((((x + i * step) * 37 + (y + j * step) * 11) % 200) if x + i * step < 600 else 255 for j in range(h) for i in range(w))
+
+
+def test_slide_to_features(spark):
+    """Bright squares are not read, flat tiles go, and every tile has its place and its features."""
+    from tessarine.sources import features
+
+    slides = spark.createDataFrame([("s", "p", 1300, 500, 1.0)], "slide_id string, path string, base_w int, base_h int, mpp double")
+    how = {"tile_um": 256.0, "tile_px": 32, "most_px": 512, "decoder": f"{__name__}:stripes"}
+    all_tiles = {r.tile_index: (r.x_um, r.y_um, len(r.image)) for r in features.tiles_of(slides, brightness_cutoff=None, texture_cutoff=None, **how).collect()}
+    assert len(all_tiles) == 12 and all_tiles[0] == (0.0, 0.0, 1024) and all_tiles[3] == (256.0, 256.0, 1024) and all_tiles[4] == (512.0, 0.0, 1024)
+    found = features.extract(slides, tiles.byte_histogram(16), **how).orderBy("tile_index").collect()
+    assert [r.tile_index for r in found] == [0, 1, 2, 3, 4, 6] or [r.tile_index for r in found] == [0, 1, 2, 3]
+    assert all(abs(sum(r.features) - 1) < 1e-5 and r.extractor_id == "byte-histogram-16" for r in found)
+    refs = tiles.reference_vectors(spark.createDataFrame([("good", "a", bytearray(b"ab")), ("bad", "b", bytearray(b"\xff"))], "label string, path string, image binary"), tiles.byte_histogram(16))
+    assert {(r.label, r.path): round(float(np.linalg.norm(r.vec)), 6) for r in refs.collect()} == {("good", "a"): 1.0, ("bad", "b"): 1.0}
+
+
+def test_drained_aggregates_are_the_newest(spark, tmp_path):
+    """Three files, a batch each: of each window the last counts."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(3):
+        (src / f"{i}.json").write_text(json.dumps({"ts": "2024-01-01T00:10:00", "k": "a", "v": 1.0}))
+    stream = spark.readStream.schema("ts timestamp, k string, v double").option("maxFilesPerTrigger", 1).json(str(src))
+    out = feeds.drained(feeds.windowed(stream, "ts", "k", "v"), "w", by=["window_start", "k"]).collect()
+    assert [(r.n, r.total) for r in out] == [(3, 3.0)]
+
+
 def test_steps_stream_in_batches(spark, tmp_path):
     src, ck = tmp_path / "in", str(tmp_path / "ck")
     src.mkdir()
@@ -208,7 +328,7 @@ def test_exploration_tools(spark):
     info = tools.view_info(mark.limit(1), views, slides, flat).first()
     assert info.view_seq == 1 and info.level == 0 and len(info.candidates) == flat.where("view_seq = 1").count()
     both = tools.with_fallback(views, found.drop("source").where("view_seq = 1"), found.drop("source"))
-    assert {(r.view_seq, r.source) for r in both.collect()} == {(1, "knn"), (0, "fallback_heuristic")}
+    assert {(r.view_seq, r.source) for r in both.collect()} == {(1, "uni2_knn"), (0, "fallback_heuristic")}
     assert tools.overlay(found, 1000, 500).where("colour < 0 or colour > 5").count() == 0
     left = tools.discard_last(spark.createDataFrame([("r", 1), ("r", 2)], "run_id string, seq int"), spark.createDataFrame([("r", 3)], "run_id string, seq int"))
     assert [r.seq for r in left.collect()] == [1]
@@ -220,10 +340,10 @@ def test_exploration_tools(spark):
 
 def test_probe_existing_and_sinks(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    for name, data in (("a.png", png([[1, 2]])), ("b.svs", b"II*\x00rest"), ("c.svs", b"nonsense"), ("f.jpg", b"\xff\xd8\xff\xe0")):
+    for name, data in (("a.png", png([[1, 2]])), ("b.svs", b"II*\x00rest"), ("c.svs", b"nonsense"), ("f.jpg", b"\xff\xd8\xff\xe0")):  # the last has a JPEG's first bytes only
         (tmp_path / "d" / name).write_bytes(data)
-    got = {r.path.split("/")[-1]: (r.kind, r.error) for r in files.probe(spark, str(tmp_path / "d")).collect()}
-    assert got == {"a.png": ("png", None), "b.svs": ("tiff", None), "c.svs": (None, "unsupported_or_missing_image"), "f.jpg": ("jpeg", None)}
+    got = {r.path.split("/")[-1]: (r.kind, r.opened, r.error) for r in files.probe(spark, str(tmp_path / "d")).collect()}
+    assert got == {"a.png": ("png", True, None), "b.svs": ("tiff", None, None), "c.svs": (None, None, "unsupported_or_missing_image"), "f.jpg": ("jpeg", False, "unreadable_image")}
     listed = files.listing(spark, str(tmp_path / "d"))
     asked = listed.limit(2).select("path").union(spark.createDataFrame([("gone",)], "path string"))
     assert files.existing(asked, listed).count() == 2
