@@ -213,6 +213,11 @@ def existing(rows: DataFrame, listed: DataFrame, path: str = "path") -> DataFram
     return rows.join(listed.select(F.col("path").alias(path)), path, "left_semi")
 
 
+def looked_up(rows: DataFrame, known: DataFrame, path: str = "path") -> DataFrame:
+    """rows with what is known of their path, null where nothing is, and whether there is something: a left join on equality, for any number of paths."""
+    return rows.join(known.withColumn("hit", F.lit(True)), path, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def deletable(listed: DataFrame, base: str, keep: tuple[str, ...] = (), path: str = "path") -> DataFrame:
     """Listed files strictly below base, but for those below the kept folders: what a retention job may delete."""
     p = F.col(path)
