@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from tessarine.llm import licenses
@@ -58,11 +60,45 @@ def test_query_whole_table(spark, sf):
 
 def test_notices_of_long_files_keep_their_votes(spark):
     """A file of all notices, and one of a notice among rarer index words, keep the labels that each notice earns alone."""
-    notices = {label: notice for label, (notice, _) in licenses.TEMPLATES.items()}
+    notices = {name: notice for name, (notice, _) in licenses.TEMPLATES.items()}
+    label_of = lambda name: name.partition("/")[0]
     rare = "forms domain form binary attribution creative commons free international lesser into code"
     rows = [(i, notice) for i, notice in enumerate(notices.values())]
     rows += [(100, f" {prose(4, 20)} ".join(notices.values())), (101, f"{rare} {prose(5, 40)} {notices['gpl']} {prose(6, 40)}")]
     rows += [(200 + i, "a gnu with the general public") for i in range(80)] + [(300, " ".join([notices["bsd"]] * 700))]
     got = {r.key: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
-    assert all(label in got[i] for i, label in enumerate(notices))
-    assert got[100] == sorted(notices) and got[101] == ["gpl"] and got[200] == [] and got[300] == ["bsd"]
+    assert all(label_of(name) in got[i] for i, name in enumerate(notices))
+    assert got[100] == sorted({label_of(name) for name in notices}) and got[101] == ["gpl"] and got[200] == [] and got[300] == ["bsd"]
+
+
+def test_permission_texts_and_tags(spark):
+    """The licences' own texts as they are printed, and tags in source files; texts that only speak of such things have no label."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files (the \"Software\"), to deal\n in the Software without restriction, including without limitation the rights\n to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    rows = [(1, mit), (2, isc), (3, gpl)] + [(10 + i, f"// SPDX-License-Identifier: {tag}\nint main() {{}}") for i, tag in enumerate(licenses.TAGS)]
+    rows += [(50, "Permission to enter is hereby granted free of charge to any person."), (51, "The SPDX license identifier list names many licenses."), (52, f"{prose(1, 5000)} {mit} {prose(2, 5000)} SPDX-License-Identifier: ISC")]
+    got = {r.key: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert (got[1], got[2], got[3]) == (["mit"], ["isc"], ["gpl"])
+    assert [got[10 + i] for i in range(len(licenses.TAGS))] == [[label] for label in licenses.TAGS.values()]
+    assert got[50] == got[51] == [] and got[52] == ["isc", "mit"]
+
+
+def test_plain_votes(spark):
+    """labels and scores against loops: for each template whose key phrases stand in the text, the best share of its words' IDF at one offset."""
+    rows = cases() + [(60 + i, f"{prose(i, 10)} {notice} {prose(i + 9, 10)}") for i, (notice, _) in enumerate(licenses.TEMPLATES.values())]
+    docs = [licenses.words_of(t or "") for _, t in rows]
+    weight = lambda w: math.log((len(docs) + 1) / (sum(w in d for d in docs) + 1)) + 1
+    for r in licenses.scan(frame(spark, rows)).where("key >= 60").collect():
+        words = licenses.words_of(dict(rows)[r.key])
+        best = {}
+        for name, (notice, keys) in licenses.TEMPLATES.items():
+            t = licenses.words_of(notice)
+            if all(f" {' '.join(licenses.words_of(k))} " in f" {' '.join(words)} " for k in keys):
+                for start in range(len(words)):
+                    own = sum(weight(w) for q, w in enumerate(t) if start + q < len(words) and words[start + q] == w)
+                    label = name.partition("/")[0]
+                    best[label] = max(best.get(label, 0), own / sum(map(weight, t)))
+        full = {label for label, share in best.items() if share > 0.999}
+        assert full <= set(r.labels) and all(best.get(label, 0) > 0 for label in r.labels)
+        assert r.score == 1.0 or abs(r.score - max(best.values())) < 1e-9
