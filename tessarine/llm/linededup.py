@@ -10,7 +10,7 @@ or not it follows a template. So the corpus loses no content. The usual tree upd
 in the order of arrival; this rule counts instead, so its result depends on no order and its groups need no one task.
 
 Everything is grouped by hashes with partial sums, or joined with tables of one row per key on plain exchanges, which
-AQE splits where a leaf, line or template holds a large part of all rows. Only lines of leaves that recur travel with
+AQE splits where a leaf, line or template holds a large part of all rows. Lines travel as hashes; only those of leaves that `min_docs` documents have travel with
 their text, and words are exploded for distinct lines only. Lines are known by 128-bit hashes, documents by doc_id and a hash of their text, templates
 by their leaf and the sum of their places' hashes.
 
@@ -55,42 +55,38 @@ def leaf_of(words: list[str], depth: int) -> int:
     return xxhash.xxh64_intdigest(f"{len(words)} " + " ".join(words[:depth])) - (1 << 63)
 
 
-def _leaves(batches: Iterator[pa.RecordBatch], depth: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """The leaves of each document, once each."""
-    for batch in batches:
-        out: list[int] = []
-        for text in batch.column(2):
-            seen = set()
-            for line in (text.as_py() or "").split("\n"):
-                words = masked(line)
-                if len(words) >= min_words:
-                    seen.add(leaf_of(words, depth))
-            out += seen
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["leaf"])
+def _signed(digest: bytes) -> tuple[int, int]:
+    """A 128-bit hash as two signed longs."""
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+#: columns of a line's row; with text, the masked line and its hash stand in the place of the hash of its words as they are
+_COLUMNS = ("rk", "doc", "n", "leaf", "h1", "h2", "once", "line")
 
 
-def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """(rk, doc, n, leaf, line, lid, same, once): masked line and its hash, hash of the words as they are, and 1 at the document's first line of that lid."""
+def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int, text: bool) -> Iterator[pa.RecordBatch]:
+    """A row per line: its document, number and leaf, a 128-bit hash, and 1 at the first line of the document with that leaf (or, with text, with that hash)."""
     for batch in batches:
         keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        types = [pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
-        names = ["rk", "doc", "n", "leaf", "line", "lid", "same", "once"]
+        types = [pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.string()] if text else [])]
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else [()] * 8
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)  # noqa: B023
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _COLUMNS[: len(types)])  # noqa: B023
 
         out: list[tuple] = []
-        for rk, doc, text in zip(keys, ids, batch.column(2), strict=True):
+        for rk, doc, whole in zip(keys, ids, batch.column(2), strict=True):
             seen: set = set()
-            for n, line in enumerate((text.as_py() or "").split("\n")):
+            for n, line in enumerate((whole.as_py() or "").split("\n")):
                 words = masked(line)
                 if len(words) < min_words:
                     continue
-                joined = " ".join(words)
-                lid = xxhash.xxh128_digest(joined)
-                out.append((rk, doc, n, leaf_of(words, depth), joined, lid, xxhash.xxh128_digest(" ".join(words_of(line))), int(lid not in seen)))
-                seen.add(lid)
+                leaf = leaf_of(words, depth)
+                shown = " ".join(words if text else words_of(line))
+                h1, h2 = _signed(xxhash.xxh128_digest(shown))
+                mark = (h1, h2) if text else leaf
+                out.append((rk, doc, n, leaf, h1, h2, int(mark not in seen), *([shown] if text else [])))
+                seen.add(mark)
                 if len(out) >= _ROWS:
                     yield done(out)
                     out = []
@@ -101,35 +97,37 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dept
     """(rk, doc, gone): for each document that loses lines, its row key xxhash64(key, text), its key, and the sorted numbers of its lines to drop."""
     arrow_limits(docs.sparkSession)
     rows = spread(docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text")))
-    kind = docs.schema[key].dataType.simpleString()
-    leaves = rows.mapInArrow(lambda it: _leaves(it, depth, min_words), "leaf bigint")
-    often = cut(leaves.groupBy("leaf").count().where("count > 1").select("leaf"), "leaves")
-    lines = rows.mapInArrow(lambda it: _lines(it, depth, min_words), f"rk bigint, doc {kind}, n int, leaf bigint, line string, lid binary, same binary, once bigint")
+    schema = f"rk bigint, doc {docs.schema[key].dataType.simpleString()}, n int, leaf bigint, h1 bigint, h2 bigint, once bigint"
+    plain = cut(rows.mapInArrow(lambda it: _lines(it, depth, min_words, False), schema), "plain")
+    # lines that two documents have word for word
+    same = plain.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.min("rk").alias("low"), F.max("rk").alias("high")).where("low != high").select("h1", "h2", "keeper")
+    by_line = _others(plain.select("rk", "doc", "n", "h1", "h2"), same, ["h1", "h2"])
+    often = cut(plain.groupBy("leaf").agg(F.sum("once").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
+    lines = rows.mapInArrow(lambda it: _lines(it, depth, min_words, True), schema + ", line string")
     lines = cut(lines.join(often, "leaf"), "lines")
     # constant words of each leaf, from distinct lines
-    distinct = lines.groupBy("lid").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.sum("once").alias("docs"))
-    words = distinct.select("lid", "leaf", "docs", F.posexplode(F.split("line", " ")).alias("pos", "word"))
-    words = cut(words.select("lid", "leaf", "docs", "pos", F.xxhash64("leaf", "pos", "word").alias("place")), "words")
-    size = words.groupBy("lid").agg(F.count("*").alias("words"))
+    distinct = lines.groupBy("h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("line").alias("line"), F.sum("once").alias("docs"))
+    words = distinct.select("h1", "h2", "leaf", "docs", F.posexplode(F.split("line", " ")).alias("pos", "word"))
+    words = cut(words.select("h1", "h2", "leaf", "docs", "pos", F.xxhash64("leaf", "pos", "word").alias("place")), "words")
     whole = words.where("pos = 0").groupBy("leaf").agg(F.sum("docs").alias("whole"))
     places = words.groupBy("place").agg(F.first("leaf").alias("leaf"), F.sum("docs").alias("all")).where(F.col("all") >= min_docs)
-    constant = cut(places.join(whole, "leaf").where(F.col("all") >= common * F.col("whole")).select("place"), "constant")
-    kept = words.join(constant, "place").groupBy("lid").agg(
-        F.first("leaf").alias("leaf"), F.sum(F.col("place").cast("decimal(38,0)")).alias("total"), F.sum((F.col("pos") >= depth).cast("int")).alias("tail")
+    constant = cut(places.join(whole, "leaf").where(F.col("all") >= common * F.col("whole")).select("place", F.lit(1).alias("kept")), "constant")
+    # the words of a line and, of them, the constant ones
+    kept = words.join(constant, "place", "left").groupBy("h1", "h2").agg(
+        F.first("leaf").alias("leaf"), F.sum(F.when(F.col("kept") == 1, F.col("place")).cast("decimal(38,0)")).alias("total"), F.count_if((F.col("kept") == 1) & (F.col("pos") >= depth)).alias("tail"), F.count("*").alias("words")
     )
     follows = F.col("tail") >= share * F.greatest(F.col("words") - depth, F.lit(1))
-    template = cut(kept.join(size, "lid").where(follows).select("lid", F.struct("leaf", "total").alias("template")), "template")
-    at = lines.select("rk", "doc", "n", "lid").join(template, "lid").select("rk", "doc", "n", "template")
-    by_template = _gone(cut(at, "at"), "template", min_docs)
-    by_line = _gone(lines.select("rk", "doc", "n", "same"), "same", 2)
+    template = cut(kept.where(follows).select("h1", "h2", "leaf", F.col("total").alias("places")), "template")
+    at = cut(lines.select("rk", "doc", "n", "h1", "h2").join(template, ["h1", "h2"]).select("rk", "doc", "n", "leaf", "places"), "at")
+    per_doc = at.groupBy("leaf", "places", "rk", "doc").agg(F.lit(1).alias("one"))
+    recurring = per_doc.groupBy("leaf", "places").agg(F.count("*").alias("docs"), F.min("doc").alias("keeper")).where(F.col("docs") >= min_docs).drop("docs")
+    by_template = _others(at.where("places is not null"), recurring, ["leaf", "places"])
     return by_template.union(by_line).groupBy("rk", "doc").agg(F.sort_array(F.collect_set("n")).alias("gone"))
 
 
-def _gone(at: DataFrame, group: str, least: int) -> DataFrame:
-    """(rk, doc, n) of lines whose group stands in at least `least` documents, but those of the group's smallest doc."""
-    per_doc = at.groupBy(group, "rk", "doc").agg(F.lit(1).alias("one"))
-    recurring = per_doc.groupBy(group).agg(F.count("*").alias("docs"), F.min("doc").alias("keeper")).where(F.col("docs") >= least).select(group, "keeper")
-    return at.join(cut(recurring, "recurring"), group).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("rk", "doc", "n")
+def _others(at: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """(rk, doc, n) of the lines of the groups, but those of each group's smallest doc."""
+    return at.join(cut(groups, "groups"), by).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("rk", "doc", "n")
 
 
 def without(parts: Column, gone: Column) -> Column:
