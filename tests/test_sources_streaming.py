@@ -405,3 +405,18 @@ def test_vector_index_recall(spark, tmp_path):
             got = [r.tile_id for r in tiles.search_index(spark, f"{tmp_path}/{name}", q.tolist(), 10).collect()]
             found += len(set(got) & set(np.argsort(((x - q) ** 2).sum(1))[:10].tolist()))
         assert found >= 0.9 * 120, name
+
+
+def test_index_of_labelled_folders(spark, tmp_path, capsys):
+    from tessarine import build_index
+
+    for i, name in enumerate(("Good_Tiles/a.png", "Good_Tiles/b.jpg", "Bad/c.png", "other/d.png", "Bad/e.txt")):
+        (tmp_path / "root" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / name).write_bytes(bytes([40 * i]) * 50)
+    build_index.main(["--root", str(tmp_path / "root"), "--out", str(tmp_path / "out"), "--space", "ip", "--lists", "2"])
+    meta = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert meta == {"space": "ip", "dim": 64, "lists": 2, "count": 3, "extractor_id": "byte-histogram-64", "labels": {"bad": 1, "good": 2}}
+    near = tiles.search_index(spark, str(tmp_path / "out" / "index"), tiles.byte_histogram(64).load()([bytes([80]) * 50])[0].tolist(), 1, probes=2).first()
+    assert near.label == "bad" and near.path.endswith("Bad/c.png")
+    with pytest.raises(ValueError, match="space must be"):
+        build_index.build(spark, "r", "o", tiles.byte_histogram(64), "dot")
