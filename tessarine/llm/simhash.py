@@ -25,39 +25,51 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
 from ._io import arrow_limits, cut, spread, table
-from ._vec import LOWER, SOLID, Words, buffers
+from ._vec import LOWER, SOLID, Words, buffers, slabs
+from ._xxh import xxh64
 
 _U = np.uint64
 
 
-def fingerprint(data: bytes, start: np.ndarray, end: np.ndarray, shingle: int) -> int:
-    """Of one text whose words have these byte bounds (A-Z already lower-cased)."""
-    n = len(start)
-    if not n:
-        return 0
-    text, digest = b" ".join([data[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]), xxhash.xxh64_intdigest
-    begin = np.zeros(n, np.int64)
-    np.cumsum(end[:-1] - start[:-1] + 1, out=begin[1:])
-    stop = begin + (end - start)
-    if n > shingle:
-        begin, stop = begin[: n - shingle + 1], stop[shingle - 1 :]
-    else:
-        begin, stop = begin[:1], stop[-1:]
-    return majority(np.array([digest(text[a:b], 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], _U))
-
-
-def majority(h: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes."""
-    total = np.zeros(64, np.int64)
-    for i in range(0, len(h), 255):
-        total += np.unpackbits(h[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view(_U)[0])
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, stop, rows): the texts with one space between words, the bounds of each shingle in them, and the number of shingles before each row."""
+    data = LOWER[data]
+    w = Words(data, offsets, SOLID)
+    keep = SOLID[data]
+    after = w.start + w.length
+    keep[after[after < len(data)]] = True  # a word's first separator, which becomes the space; at a row's end the next row's byte, which no shingle reaches
+    place = np.cumsum(keep, dtype=np.int32 if len(keep) < 1 << 31 else np.int64) - 1
+    joined = data[keep]
+    joined[~SOLID[joined]] = 32
+    begin = place[w.start] if len(w.start) else w.start
+    words = np.diff(w.at)
+    many = np.where(words >= size, words - size + 1, np.minimum(words, 1))
+    rows = np.concatenate([[0], np.cumsum(many)])
+    first = np.repeat(w.at[:-1] - rows[:-1], many) + np.arange(rows[-1])
+    last = first + np.repeat(np.minimum(words, size), many) - 1
+    return joined, begin[first].astype(np.int64), begin[last] + w.length[last], rows
+
+
+def majorities(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Per row, the bits that are set in over half of its hashes; zero without hashes."""
+    many = np.diff(rows)
+    total = np.zeros((len(many), 64), np.int64)
+    some = np.flatnonzero(many)
+    for a in range(0, len(some), 4096):
+        own = some[a : a + 4096]
+        lo, hi = int(rows[own[0]]), int(rows[own[-1] + 1])
+        if hi - lo > 1 << 20 and len(own) == 1:  # one very long text
+            for at in range(lo, hi, 1 << 20):
+                total[own[0]] += np.unpackbits(h[at : min(hi, at + (1 << 20))].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        else:
+            bits = np.unpackbits(h[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[own] = np.add.reduceat(bits, rows[own] - lo, axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > many[:, None], axis=1, bitorder="little").view(_U).ravel()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -66,12 +78,10 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
             out = np.zeros(batch.num_rows, _U)
-            for i in range(batch.num_rows):
-                one = LOWER[data[offsets[i] : offsets[i + 1]]]
-                w = Words(one, np.array([0, len(one)]), SOLID)
-                out[i] = fingerprint(one.tobytes(), w.start, w.start + w.length, shingle)
+            for r0, part, at in slabs(*buffers(batch.column(1))):
+                data, begin, stop, rows = shingles(part, at, shingle)
+                out[r0 : r0 + len(at) - 1] = majorities(xxh64(data, begin, stop), rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -214,7 +224,7 @@ def _join(batches: Iterator[pa.RecordBatch], segments: int, radius: int, run_lim
 
 
 def _cross(table: pa.Table, radius: int) -> pa.Table:
-    """Links of one unit (side 0: within one block; sides 1 and 2: between two)."""
+    """Links of one unit (side 0: within one block; sides 1 and 2: between two) that connect its members as all links do."""
     side, fp = table.column("side").to_numpy(), table.column("a").to_numpy().view(_U)
     a, b = [np.zeros(0, _U)], [np.zeros(0, _U)]
     if (side == 0).all():
@@ -223,10 +233,15 @@ def _cross(table: pa.Table, radius: int) -> pa.Table:
             b.append(y)
     else:
         left, right = fp[side == 1], fp[side == 2]
-        for x in left:
-            near = right[np.bitwise_count(right ^ x) <= radius]
-            a.append(np.full(len(near), x))
-            b.append(near)
+        root = np.arange(len(left) + len(right))
+        for i, x in enumerate(left):
+            near = np.flatnonzero(np.bitwise_count(right ^ x) <= radius) + len(left)
+            for j in near[root[near] != root[i]].tolist():
+                if root[j] != root[i]:
+                    a.append(left[i : i + 1])
+                    b.append(right[j - len(left) : j - len(left) + 1])
+                    old, new = max(root[j], root[i]), min(root[j], root[i])
+                    root[root == old] = new
     return pa.table([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
 
 

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tessarine.llm import simhash
+from tessarine.llm._xxh import xxh64
 from tests.llm.fixtures import frame, odd_documents, prose, with_clashes
 
 
@@ -91,3 +92,18 @@ def test_query_whole_table(spark):
     fps = [(r.doc_id, plain_fp(r.text)) for r in sorted(rows)]
     want = {k: (f"{f:016x}", c) for (k, f), c in zip(fps, plain_components(fps, 2), strict=True)}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in out} == want
+
+
+def test_hashes_of_every_length():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8)
+    begin = np.concatenate([np.arange(300), rng.integers(0, 4000, 2000), [0, 5000, 4999]])
+    stop = np.concatenate([2 * np.arange(300), begin[300:2300] + rng.integers(0, 900, 2000), [5000, 5000, 5000]])
+    want = [xxhash.xxh64_intdigest(data[a:b].tobytes(), 42) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+    assert xxh64(data, begin, stop).tolist() == want
+
+
+def test_fingerprints_of_odd_spacing_and_long_texts(spark):
+    texts = ["", " ", "a", "a  b", "\ta\nb\r\nc ", "A b C d", "é É\u00a0x y z", " lead", "trail ", None, "one\x0btwo\x0cthree four", prose(5, 300_000), "w" * 70_000, "x" * 40 + " " + "y" * 300 + " z q"] * 2
+    got = {r.key: r.fp & (1 << 64) - 1 for r in simhash.fingerprints(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: plain_fp(t) for i, t in enumerate(texts)}
