@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
-from .vectors import centroid, dot, doubles, nearest, unit
+from .vectors import centroid, dot, doubles, mean_nearest, unit
 
 #: Weights of the fused scores, slope and clip of the likelihood, limits of the hints.
 GENERIC = {"novelty": 0.65, "centroid_dist": 0.35}
@@ -23,8 +23,7 @@ def unit_rows(rows: DataFrame, key: str, vec: str, *more: str) -> DataFrame:
 
 def novelty(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(id, novelty): mean distance to the max(1, min(k, n - 1)) nearest others; 0 for a single row."""
-    means = nearest(rows, max(1, k)).groupBy("id").agg(F.avg("dist").alias("novelty"))
-    return rows.select("id").join(means, "id", "left").select("id", F.coalesce("novelty", F.lit(0.0)).alias("novelty"))
+    return mean_nearest(rows, max(1, k)).select("id", F.col("mean").alias("novelty"))
 
 
 def centroid_distance(rows: DataFrame) -> DataFrame:
@@ -54,17 +53,19 @@ def class_scores(rows: DataFrame, references: DataFrame) -> DataFrame:
 
     references: (label, vec). With one class only, margins are against the mean similarity; with none they are 0 and the likelihood 0.5.
     """
-    centres = centroid(references.where(F.col("label").isin("good", "bad")), "vec", "label")
+    centres = cut(centroid(references.where(F.col("label").isin("good", "bad")), "vec", "label"), "centres")
+    classes = {r.label for r in centres.select("label").collect()}  # two rows at most
     both = centres.groupBy().agg(*[F.max(F.when(F.col("label") == c, F.col("centroid"))).alias(c) for c in ("good", "bad")])
     sims = rows.crossJoin(F.broadcast(both)).select("id", dot(F.col("vec"), F.col("bad")).alias("to_bad"), dot(F.col("vec"), F.col("good")).alias("to_good"))
-    mean = sims.agg(F.avg("to_bad").alias("mean_bad"), F.avg("to_good").alias("mean_good"))
-    has_bad, has_good = F.col("to_bad").isNotNull(), F.col("to_good").isNotNull()
-    margin = (
-        F.when(has_bad & has_good, F.col("to_bad") - F.col("to_good")).when(has_bad, F.col("to_bad") - F.col("mean_bad"))
-        .when(has_good, F.col("mean_good") - F.col("to_good")).otherwise(0.0)
-    )
-    mode = F.when(has_bad & has_good, "good_bad_centroid").when(has_bad, "bad_only_centroid").when(has_good, "good_only_centroid").otherwise("none")
-    scored = sims.crossJoin(F.broadcast(mean)).select("id", margin.alias("bad_margin"), mode.alias("reference_mode"))
+    if classes == {"good", "bad"}:
+        scored = sims.select("id", (F.col("to_bad") - F.col("to_good")).alias("bad_margin"), F.lit("good_bad_centroid").alias("reference_mode"))
+    elif classes:  # the mean similarity takes another pass, for one class only
+        (name,) = classes
+        mean = F.broadcast(sims.agg(F.avg(f"to_{name}").alias("mean")))
+        margin = F.col("to_bad") - F.col("mean") if name == "bad" else F.col("mean") - F.col("to_good")
+        scored = sims.crossJoin(mean).select("id", margin.alias("bad_margin"), F.lit(f"{name}_only_centroid").alias("reference_mode"))
+    else:
+        scored = rows.select("id", F.lit(0.0).alias("bad_margin"), F.lit("none").alias("reference_mode"))
     return scored.withColumn("bad_likelihood", likelihood(F.col("bad_margin")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +69,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _sound(vec: Column) -> Column:
+    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull())
+
+
 def _slim(rows: DataFrame, key: str, vec: str) -> DataFrame:
     """(id, vec) of the rows that have a vector without null components; others are nobody's neighbours and have none."""
-    whole = F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull())
-    return rows.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec")).where(whole)
+    return rows.select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec")).where(_sound(F.col("vec")))
 
 
 def _best(met: DataFrame, k: int) -> DataFrame:
@@ -83,20 +86,16 @@ def _best(met: DataFrame, k: int) -> DataFrame:
 NEAR = "id bigint, other bigint, dist double"
 
 
-def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_values: int = BROADCAST_VALUES, exact: bool = False, **how) -> DataFrame:
-    """(id, other, dist, rank): the k nearest other rows by cosine distance of unit vectors. Rows without a vector, or with null components, take no part.
-
-    Where the vectors' measured size is within a broadcast's bound, every task multiplies its rows with all vectors, and the result is exact.
-    Beyond it a join over lists of near vectors finds them (nearest_by_lists, with its measured recall), as every exact plan compares all with all; `exact` asks
-    for that all the same (nearest_by_blocks).
-    """
-    slim = _slim(rows, key, vec)
+def _size(slim: DataFrame) -> tuple[int, int]:
+    """Rows and values of the vectors: the proof that they may be broadcast."""
     facts = slim.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
-    if facts.n * (facts.width or 0) > most_values:
-        return nearest_by_blocks(slim, k, facts.n, **how) if exact else nearest_by_lists(slim, k, facts.n, **how)
+    return facts.n, facts.n * (facts.width or 0)
+
+
+def _against_all(slim: DataFrame, n: int, k: int, emit: Callable, schema: str) -> DataFrame:
+    """Every task multiplies its rows with all vectors, which are broadcast; emit(ids, row numbers, others, distances) makes a batch, rows sorted by distance within each id."""
     all_rows = slim.toArrow()
-    ids, x = all_rows.column("id").to_numpy(), _matrix(all_rows.column("vec").combine_chunks())
-    sent = slim.sparkSession.sparkContext.broadcast((ids, x))
+    sent = slim.sparkSession.sparkContext.broadcast((all_rows.column("id").to_numpy(), _matrix(all_rows.column("vec").combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other_ids, other = sent.value
@@ -104,10 +103,44 @@ def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_val
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 own = part.column(0).to_numpy()
-                i, o, d = _neighbours(own, _matrix(part.column(1)), other_ids, other, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(o), pa.array(d)], ["id", "other", "dist"])
+                yield emit(own, *_neighbours(own, _matrix(part.column(1)), other_ids, other, k))
+
+    return (slim.repartition(slim.sparkSession.sparkContext.defaultParallelism) if n > 512 else slim).mapInArrow(run, schema)
+
+
+def nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_values: int = BROADCAST_VALUES, exact: bool = False, **how) -> DataFrame:
+    """(id, other, dist, rank): the k nearest other rows by cosine distance of unit vectors. Rows without a vector, or with null components, take no part.
+
+    Where the vectors' measured size is within a broadcast's bound, every task multiplies its rows with all vectors, and the result is exact.
+    Beyond it a join over lists of near vectors finds them (nearest_by_lists, with its measured recall), as every exact plan compares all with all; `exact` asks
+    for that all the same (nearest_by_blocks).
+    """
+    slim = _slim(rows, key, vec)
+    n, values = _size(slim)
+    if values > most_values:
+        return nearest_by_blocks(slim, k, n, **how) if exact else nearest_by_lists(slim, k, n, **how)
+
+    def emit(ids: np.ndarray, i: np.ndarray, other: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other), pa.array(dist), pa.array(rank.astype(np.int32))], ["id", "other", "dist", "rank"])
+
+    return _against_all(slim, n, k, emit, NEAR + ", rank int")
+
+
+def mean_nearest(rows: DataFrame, k: int, key: str = "id", vec: str = "vec", most_values: int = BROADCAST_VALUES, **how) -> DataFrame:
+    """(id, mean): the mean distance of each row to its k nearest others; 0 for rows that have none. Within a broadcast's bound a map: no pair leaves its task."""
+    slim = _slim(rows, key, vec)
+    n, values = _size(slim)
+    if values > most_values:
+        means = nearest(rows, k, key, vec, most_values, **how).groupBy("id").agg(F.avg("dist").alias("mean"))
+        return rows.select(F.col(key).cast("bigint").alias("id")).join(means, "id", "left").select("id", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+    def emit(ids: np.ndarray, i: np.ndarray, other: np.ndarray, dist: np.ndarray) -> pa.RecordBatch:
+        many = np.bincount(i, minlength=len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.bincount(i, dist, len(ids)) / np.maximum(many, 1))], ["id", "mean"])
 
-    return _best(slim.repartition(slim.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, NEAR) if facts.n > 512 else slim.mapInArrow(run, NEAR), k)
+    without = rows.where(~F.coalesce(_sound(F.col(vec)), F.lit(False))).select(F.col(key).cast("bigint").alias("id"), F.lit(0.0).alias("mean"))
+    return _against_all(slim, n, k, emit, "id bigint, mean double").union(without)
 
 
 def _unit_of(asks: str, k: int):
