@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbers import Value, col, half_even
+from ..sources.scratch import cut, forget
 from .geometry import grid_candidate, iou, supertile
 
 #: Size of the candidate list, separations, overlap and snapping limits.
@@ -66,7 +67,7 @@ def separation(side: Value, least: Value) -> Column:
 def suppress(candidates: DataFrame, by: list[str], side: Value, min_separation: Value = MIN_SEPARATION, top_k: int = TOP_K, max_iou: float = MAX_IOU) -> DataFrame:
     """Per group, walks (id, cx, cy, score) by falling score (ties: smaller id), takes what is neither too near to nor overlaps a taken one, up to top_k; adds rank.
 
-    A fold over the group's sorted array inside Catalyst, no Python. A group is what one view holds: filter first.
+    A fold over the group's sorted array inside Catalyst, no Python. A group is what one view holds: filter first. Groups of millions go by suppress_in_rounds.
     """
     gap, half = separation(side, min_separation), col(side) / 2.0
     item = F.struct((-F.col("score")).alias("neg"), F.col("id"), F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"))
@@ -84,6 +85,28 @@ def suppress(candidates: DataFrame, by: list[str], side: Value, min_separation:
     return picked.select(*by, (F.col("pos") + 1).alias("rank"), "c.id", "c.cx", "c.cy", (-F.col("c.neg")).alias("score"))
 
 
+def suppress_in_rounds(candidates: DataFrame, by: list[str], side: Value, min_separation: Value = MIN_SEPARATION, top_k: int = TOP_K, max_iou: float = MAX_IOU) -> DataFrame:
+    """The same rows for groups too large to gather: top_k rounds, each of which takes every group's best by a partial aggregate and drops what clashes with it by a join with one row
+    per group. What is left is written out each round, and only the picks stay."""
+    gap, half = separation(side, min_separation), col(side) / 2.0
+    left = cut(candidates.select(*by, "id", F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), F.col("score").cast("double").alias("score")), "candidates")
+    picked = None
+    for rank in range(1, top_k + 1):
+        best = left.groupBy(*by).agg(F.min(F.struct((-F.col("score")).alias("neg"), "id", "cx", "cy")).alias("b")).where("b is not null")
+        best = cut(best.select(*[F.col(c).alias(f"__{c}") for c in by], "b"), "best")
+        if best.isEmpty():
+            break
+        one = best.select(*[F.col(f"__{c}").alias(c) for c in by], F.lit(rank).alias("rank"), "b.id", "b.cx", "b.cy", (-F.col("b.neg")).alias("score"))
+        picked = one if picked is None else picked.union(one)
+        here = F.struct((F.col("cx") - half).alias("x0"), (F.col("cy") - half).alias("y0"), (F.col("cx") + half).alias("x1"), (F.col("cy") + half).alias("y1"))
+        there = F.struct((F.col("b.cx") - half).alias("x0"), (F.col("b.cy") - half).alias("y0"), (F.col("b.cx") + half).alias("x1"), (F.col("b.cy") + half).alias("y1"))
+        near = (F.col("b.cx") - F.col("cx")) * (F.col("b.cx") - F.col("cx")) + (F.col("b.cy") - F.col("cy")) * (F.col("b.cy") - F.col("cy")) < gap * gap
+        met = left.join(best, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]) if by else left.crossJoin(F.broadcast(best))  # without groups best is one row
+        before, left = left, cut(met.where(~(near | (iou(there, here) > max_iou) | (F.col("id") == F.col("b.id")))).select(*left.columns), "candidates")
+        forget(before)
+    return left.limit(0).select(*by, F.lit(0).alias("rank"), "id", "cx", "cy", "score") if picked is None else picked
+
+
 def described(picked: DataFrame, side: int, view: tuple[int, int, int, int]) -> DataFrame:
     """Picked tiles (rank, id, cx, cy, score) as candidates on the view's grid."""
     half = side / 2.0

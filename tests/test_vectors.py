@@ -112,6 +112,16 @@ def test_suppression_is_the_greedy_walk(spark, points, gap, limit):
     assert sorted(r["rank"] for r in out) == list(range(1, len(out) + 1))
 
 
+def test_rounds_take_what_the_walk_takes(spark):
+    r = np.random.default_rng(6)
+    rows = [(None if i % 3 == 2 else i % 3, i, float(r.integers(0, 60)), float(r.integers(0, 60)), float(r.integers(0, 6))) for i in range(300)]
+    df = frame(spark, rows, "grp int, id long, cx double, cy double, score double")
+    for by in (["grp"], []):
+        a, b = (sorted(((*[x[c] for c in by], x["rank"], x.id, x.cx, x.score) for x in f(df, by, 10, 9, 7, 0.2).collect()), key=str) for f in (spatial.suppress, spatial.suppress_in_rounds))
+        assert a == b and len(a) == (21 if by else 7)
+    assert spatial.suppress_in_rounds(df.limit(0), ["grp"], 10).count() == 0
+
+
 def test_view_edges_are_inside(spark):
     pts = spark.createDataFrame([(10.0, 10.0), (20.0, 20.0), (20.1, 15.0), (9.9, 15.0)], "x double, y double")
     assert pts.where(spatial.in_view(F.col("x"), F.col("y"), (10, 10, 10, 10))).count() == 2
