@@ -231,7 +231,7 @@ def _meet(batches: Iterator[pa.RecordBatch], at: np.ndarray, words: int, radius:
     def passed(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary()), pa.array(k), _binary(f.view(np.uint8).reshape(len(f), -1))], ["a", "b", "k", "fp"])
 
-    for batch in (*(), *_ended(batches)):
+    for batch in _ended(batches):
         if batch is not None:
             key = np.concatenate([key, batch.column(0).to_numpy()])
             fp = np.concatenate([fp, _longs(batch.column(1), words)])
