@@ -21,10 +21,9 @@ have such a column.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +50,13 @@ def chance(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake_in_memory(cells: pd.DataFrame, targets: Targets, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Fitted tokens of each cell, and the residual."""
-    tokens = cells["tokens"].to_numpy(float)
+def rake_in_memory(cells: Sequence[tuple], targets: Targets, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Fitted tokens of each cell (a value for each dimension, and tokens), and the residual."""
+    tokens = np.array([c[-1] for c in cells], float)
     whole, codes, goals = tokens.sum(), [], []
-    for d, kind in targets:
-        code = pd.factorize(cells[d], use_na_sentinel=False)[0]
+    for i, (_, kind) in enumerate(targets):
+        names: dict = {}
+        code = np.array([names.setdefault(c[i], len(names)) for c in cells], np.int64)
         own = np.bincount(code, tokens)
         share = (own > 0).astype(float) if kind == "uniform" else np.sqrt(own)
         codes.append(code)
@@ -101,11 +101,11 @@ def _rake_as_table(cells: DataFrame, targets: Targets, tolerance: float, rounds:
 def rake(cells: DataFrame, targets: Targets = TARGETS, tolerance: float = TOLERANCE, rounds: int = ROUNDS, most_cells: int = CELLS) -> tuple[DataFrame, float]:
     """cells (dimensions and tokens) with column fitted, and the residual. At most most_cells cells reach the driver."""
     cells = cells.select(*[d for d, _ in targets], F.col("tokens").cast("double").alias("tokens"))
-    some = cells.limit(most_cells + 1).toPandas()
+    some = [tuple(r) for r in cells.limit(most_cells + 1).collect()]
     if len(some) > most_cells:
         return _rake_as_table(cells, targets, tolerance, rounds)
     fitted, residual = rake_in_memory(some, targets, tolerance, rounds)
-    rows = [(*[None if pd.isna(v) else v for v in cell], float(t), float(f)) for *cell, t, f in zip(*[some[d] for d, _ in targets], some["tokens"], fitted, strict=True)]
+    rows = [(*cell, float(f)) for cell, f in zip(some, fitted, strict=True)]
     schema = ", ".join(f"`{d}` {cells.schema[d].dataType.simpleString()}" for d, _ in targets)
     return F.broadcast(cells.sparkSession.createDataFrame(rows, f"{schema}, tokens double, fitted double")), residual
 
@@ -150,7 +150,8 @@ def oracle(targets: Targets = TARGETS, rounds: int = 300, rate: float = RATE) ->
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, source, lang, CASE WHEN contains(text, 'License') OR contains(text, 'license') THEN 'licence' WHEN contains(text, '@') THEN 'contact'
     WHEN contains(text, ' | ') THEN 'list' WHEN length(text) < {SHORT} THEN 'short' ELSE 'prose' END AS topic,
-    CAST(coalesce(len(regexp_extract_all(text, '[^	- ]+')), 0) AS BIGINT) AS n_tokens FROM documents
+    CAST(coalesce(len(regexp_extract_all(text, '[^	-
+ ]+')), 0) AS BIGINT) AS n_tokens FROM documents
 ), cells AS MATERIALIZED (SELECT {", ".join(dims)}, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL
 ), f AS (SELECT 0 AS round, *, tokens AS fitted, {", ".join(f"{goal[k](d)} AS goal_{d}" for d, k in targets)} FROM cells
   UNION ALL SELECT * REPLACE (round + 1 AS round) FROM {step} WHERE round < {rounds}

@@ -91,16 +91,16 @@ def fit(texts: list[str], y: np.ndarray, bits: int = 17, dim: int = 8, epochs: i
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << bits, np.int64), 0.0, bits)
     rng = np.random.default_rng(seed)
-    bags = [bag(t, bits) for t in texts]
-    # a batch is a matrix (texts, its buckets) of shares
-    order, batches = rng.permutation(len(bags)), []
+    # a batch is a matrix (texts, its buckets) of shares, kept as few bytes a feature
+    order, batches = rng.permutation(len(texts)), []
     for a in range(0, len(order), batch):
         some = order[a : a + batch]
-        ids, code = np.unique(np.concatenate([bags[i][0] for i in some]), return_inverse=True)
-        batches.append((ids, code, np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some]), np.concatenate([bags[i][1] for i in some]), y[some]))
+        bags = [bag(texts[i], bits) for i in some]
+        ids, code = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+        batches.append((ids, code.astype(np.int32), np.repeat(np.arange(len(some), dtype=np.int16), [len(b[0]) for b in bags]), np.concatenate([b[1] for b in bags]), y[some]))
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     layer, offset = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
-    epochs = max(epochs, -(-least_texts // len(bags)))
+    epochs = max(epochs, -(-least_texts // len(texts)))
     done, steps = 0, epochs * len(batches)
     for _ in range(epochs):
         for b in rng.permutation(len(batches)):
