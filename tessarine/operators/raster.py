@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -162,7 +161,9 @@ def components_per_image(cells: DataFrame, by: str = "image") -> DataFrame:
     """(image, x, y, region) where each image's mask is bounded (a thumbnail): whole arrays of one image in one task."""
     kind = cells.schema[by].dataType.simpleString()
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+    def label(pdf):
+        import pandas as pd
+
         pts = pdf[["y", "x"]].astype(np.int64).drop_duplicates().sort_values(["y", "x"])
         x, y = pts["x"].to_numpy(), pts["y"].to_numpy()
         return pd.DataFrame({by: pdf[by].iloc[0], "x": x, "y": y, "region": _labels(x, y)})

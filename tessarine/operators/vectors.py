@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -39,6 +37,9 @@ def unit(v: Column, added: bool = False) -> Column:
 
 def centroid(rows: DataFrame, vec: str, *by: str) -> DataFrame:
     """by, centroid, n: the mean vector of each group, scaled to length 1. One aggregate that keeps a vector per group and combines before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array  # heavy to import: a driver that needs no centroids does without
+    from pyspark.ml.stat import Summarizer
+
     grouped = rows.where(F.col(vec).isNotNull()).groupBy(*by)
     mean = vector_to_array(Summarizer.mean(array_to_vector(F.col(vec))))
     parts = grouped.agg(mean.alias("mean"), F.count("*").alias("n")).where("n > 0")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +15,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..operators.ledger import TRANSITIONS
 from ..sources.scratch import shared_folder
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def append_only(spark: SparkSession, folder: str, schema: str, form: str = "json", files: int = 64) -> DataFrame:
     """A folder that only grows, as a stream of at most `files` files a trigger."""
@@ -25,6 +28,8 @@ def fresh_steps(steps: DataFrame) -> DataFrame:
     """Stream (run_id, step_index, payload): each step once, those above the run's mark; a step 1 after higher ones means a restart and resets the mark."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         mark = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values("step_index")
         reset = bool(len(rows)) and rows["step_index"].min() == 1 and mark > 0
@@ -44,6 +49,8 @@ def run_states(events: DataFrame) -> DataFrame:
     """Stream (run_id, seq, event) of run events: the status of each run after every batch, by the transition table."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         status = state.get[0] if state.exists else None
         refused = 0
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
