@@ -29,10 +29,10 @@ def norm(v: Column) -> Column:
 
 
 def unit(v: Column, added: bool = False) -> Column:
-    """v / max(|v|, 1e-12), or v / (|v| + 1e-12)."""
+    """v / max(|v|, 1e-12), or v / (|v| + 1e-12). The norm is bound to a lambda's variable: as an expression within the transform it would be worked out for every element."""
     n = norm(v)
     n = n + 1e-12 if added else F.greatest(n, F.lit(1e-12))
-    return F.transform(v, lambda x: x / n)
+    return F.get(F.transform(F.array(n), lambda m: F.transform(v, lambda x: x / m)), F.lit(0))
 
 
 def centroid(rows: DataFrame, vec: str, *by: str) -> DataFrame:
