@@ -9,6 +9,9 @@ dropped from all documents but the one with the smallest doc_id; so is a line th
 or not it follows a template. So the corpus loses no content. The usual tree updates its leaves greedily
 in the order of arrival; this rule counts instead, so its result depends on no order and its groups need no one task.
 
+With `copies`, a document that is by and large a copy of another keeps the lines that it has from it, for a later stage to judge the whole document: stripped of them, what an edited copy has of its own
+would stay as a torso that resembles nothing. It counts as a copy where at least half of its words stand in lines of one other document that keeps them, or a fifth in two such lines or more.
+
 Everything is grouped by hashes with partial sums, or joined with tables of one row per key on plain exchanges, which
 AQE splits where a leaf, line or template holds a large part of all rows. Lines travel as hashes; only those of leaves that `min_docs` documents have travel with
 their text, and words are exploded for distinct lines only. Lines are known by 128-bit hashes, documents by doc_id and a hash of their text, templates
@@ -61,14 +64,14 @@ def _signed(digest: bytes) -> tuple[int, int]:
 
 
 #: columns of a line's row; with text, the masked line and its hash stand in the place of the hash of its words as they are
-_COLUMNS = ("rk", "doc", "n", "leaf", "h1", "h2", "once", "line")
+_COLUMNS = ("rk", "doc", "n", "leaf", "h1", "h2", "once", "words", "line")
 
 
 def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int, text: bool) -> Iterator[pa.RecordBatch]:
     """A row per line: its document, number and leaf, a 128-bit hash, and 1 at the first line of the document with that leaf (or, with text, with that hash)."""
     for batch in batches:
         keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        types = [pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.string()] if text else [])]
+        types = [pa.int64(), batch.schema.field(1).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), *([pa.string()] if text else [])]
 
         def done(rows: list[tuple]) -> pa.RecordBatch:
             columns = zip(*rows, strict=True) if rows else [()] * len(types)  # noqa: B023
@@ -85,7 +88,7 @@ def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int, text:
                 shown = " ".join(words if text else words_of(line))
                 h1, h2 = _signed(xxhash.xxh128_digest(shown))
                 mark = (h1, h2) if text else leaf
-                out.append((rk, doc, n, leaf, h1, h2, int(mark not in seen), *([shown] if text else [])))
+                out.append((rk, doc, n, leaf, h1, h2, int(mark not in seen), len(words), *([shown] if text else [])))
                 seen.add(mark)
                 if len(out) >= _ROWS:
                     yield done(out)
@@ -93,15 +96,17 @@ def _lines(batches: Iterator[pa.RecordBatch], depth: int, min_words: int, text:
         yield done(out)
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, min_words: int = 5, min_docs: int = 3, share: float = 0.6, common: float = 0.05) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, min_words: int = 5, min_docs: int = 3, share: float = 0.6, common: float = 0.05, copies: bool = False) -> DataFrame:
     """(rk, doc, gone): for each document that loses lines, its row key xxhash64(key, text), its key, and the sorted numbers of its lines to drop."""
     arrow_limits(docs.sparkSession)
     rows = spread(docs.select(F.xxhash64(key, text).alias("rk"), F.col(key).alias("doc"), F.col(text).alias("text")))
-    schema = f"rk bigint, doc {docs.schema[key].dataType.simpleString()}, n int, leaf bigint, h1 bigint, h2 bigint, once bigint"
+    schema = f"rk bigint, doc {docs.schema[key].dataType.simpleString()}, n int, leaf bigint, h1 bigint, h2 bigint, once bigint, words int"
     plain = cut(rows.mapInArrow(lambda it: _lines(it, depth, min_words, False), schema), "plain")
     # lines that two documents have word for word
     same = plain.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.min("rk").alias("low"), F.max("rk").alias("high")).where("low != high").select("h1", "h2", "keeper")
-    by_line = _others(plain.select("rk", "doc", "n", "h1", "h2"), same, ["h1", "h2"])
+    by_line = _others(plain.select("rk", "doc", "n", "words", "h1", "h2"), same, ["h1", "h2"])
+    if copies:
+        by_line = cut(by_line, "repeated")
     often = cut(plain.groupBy("leaf").agg(F.sum("once").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
     lines = rows.mapInArrow(lambda it: _lines(it, depth, min_words, True), schema + ", line string")
     lines = cut(lines.join(often, "leaf"), "lines")
@@ -122,12 +127,27 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", dept
     per_doc = at.groupBy("leaf", "places", "rk", "doc").agg(F.lit(1).alias("one"))
     recurring = per_doc.groupBy("leaf", "places").agg(F.count("*").alias("docs"), F.min("doc").alias("keeper")).where(F.col("docs") >= min_docs).drop("docs")
     by_template = _others(at.where("places is not null"), recurring, ["leaf", "places"])
-    return by_template.union(by_line).groupBy("rk", "doc").agg(F.sort_array(F.collect_set("n")).alias("gone"))
+    gone = by_template.select("rk", "doc", "n").union(by_line.select("rk", "doc", "n"))
+    if copies:
+        kept = _from_originals(plain, by_line).select("rk", F.col("doc").alias("d"), "n")
+        gone = gone.join(kept, (gone["rk"] == kept["rk"]) & (gone["n"] == kept["n"]) & gone["doc"].eqNullSafe(kept["d"]), "left_anti")
+    return gone.groupBy("rk", "doc").agg(F.sort_array(F.collect_set("n")).alias("gone"))
+
+
+def _from_originals(plain: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(rk, doc, n) of the lines that copies have from the document that they are a copy of."""
+    size = plain.groupBy("rk", "doc").agg(F.sum("words").alias("all"))
+    shared = repeated.groupBy("rk", "doc", "keeper").agg(F.sum("words").alias("shared"), F.count("*").alias("lines"))
+    size = size.withColumnRenamed("rk", "r").withColumnRenamed("doc", "d")
+    met = shared.join(size, (shared["rk"] == size["r"]) & shared["doc"].eqNullSafe(size["d"]))
+    much = (2 * F.col("shared") >= F.col("all")) | ((F.col("lines") >= 2) & (5 * F.col("shared") >= F.col("all")))
+    found = cut(met.where(much).select(F.col("rk").alias("r"), F.col("doc").alias("d"), F.col("keeper").alias("k")), "copies")
+    return repeated.join(found, (F.col("rk") == F.col("r")) & F.col("doc").eqNullSafe(F.col("d")) & (F.col("keeper") == F.col("k"))).select("rk", "doc", "n")
 
 
 def _others(at: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """(rk, doc, n) of the lines of the groups, but those of each group's smallest doc."""
-    return at.join(cut(groups, "groups"), by).where(~F.col("doc").eqNullSafe(F.col("keeper"))).select("rk", "doc", "n")
+    """The lines of the groups with their keeper, the group's smallest doc, but those of the keeper."""
+    return at.join(cut(groups, "groups"), by).where(~F.col("doc").eqNullSafe(F.col("keeper"))).drop(*by)
 
 
 def without(parts: Column, gone: Column) -> Column:

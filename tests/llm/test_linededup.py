@@ -1,13 +1,14 @@
 import time
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessarine.llm import linededup
 from tests.llm.fixtures import WORDS, frame, odd_documents, prose, with_clashes
 
 
-def plain(rows, depth=3, min_words=5, min_docs=3, share=0.6, common=0.05):
+def plain(rows, depth=3, min_words=5, min_docs=3, share=0.6, common=0.05, copies=False):
     """Texts after dropping, by loops over all lines."""
     seen, count, whole = set(), Counter(), Counter()
     lines = []
@@ -32,8 +33,22 @@ def plain(rows, depth=3, min_words=5, min_docs=3, share=0.6, common=0.05):
         for g in groups:
             where[g].add(rk)
             placed.append((rk, key, n, g))
-    gone = defaultdict(set)
+    gone, shared, total, spared = defaultdict(set), defaultdict(list), Counter(), set()
+    for rk, _, _, _, words, _ in {(x[0], x[2]): x for x in lines}.values() if copies else ():
+        total[rk] += len(words)
+    done = set()
+    for rk, key, n, _, words, same in lines if copies else ():
+        keeper = min((k for k, _ in where[2, same] if k is not None), default=None)
+        if len(where[2, same]) > 1 and key != keeper and (rk, n) not in done:
+            done.add((rk, n))
+            shared[rk, keeper].append((n, len(words)))
+    for (rk, _), own in shared.items():
+        part = sum(w for _, w in own)
+        if 2 * part >= total[rk] or len(own) > 1 and 5 * part >= total[rk]:
+            spared |= {(rk, n) for n, _ in own}
     for rk, key, n, g in placed:
+        if (rk, n) in spared:
+            continue
         keepers = [k for k, _ in where[g] if k is not None]
         if len(where[g]) >= g[0] and key != (min(keepers) if keepers else None):
             gone[rk].add(n)
@@ -108,3 +123,26 @@ def test_columns_named_like_those_inside_keep_their_values(spark):
     assert out.columns == [*df.columns, "n_lines_", "n_dropped_"]
     rows = out.collect()
     assert all(r[name] == f"own {name}" for r in rows for name in names) and sorted(r.text for r in rows) == ["", "", "", line]
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_copies_against_plain_version(spark, copies):
+    """Whole copies, edited copies in pairs and in groups, and documents that share a passage."""
+    def doc(seed, n=6):
+        return [prose(1000 * seed + i, 30) for i in range(n)]
+
+    rows = cases()
+    for c in range(4):
+        base = doc(20 + c)
+        rows.append((200 + 10 * c, "\n".join(base)))
+        for j in range(1, 2 + c):
+            own = list(base)
+            own[j % 6] = prose(7000 + 10 * c + j, 30)
+            own[(j + 3) % 6] += " more"
+            rows.append((200 + 10 * c + j, "\n".join(own)))
+    rows += [(300, "\n".join(doc(20))), (301, "\n".join([*doc(40), doc(20)[0]])), (302, "\n".join([*doc(41), doc(20)[1]])), (303, doc(20)[2]), (None, "\n".join(doc(21)))]
+    got = sorted(((r.doc_id, r.text) for r in linededup.line_dedup(frame(spark, rows), copies=copies).collect()), key=str)
+    assert got == sorted(plain(rows, copies=copies), key=str)
+    texts = dict(got)
+    assert (texts[300] == "\n".join(doc(20))) == copies and (texts[303] == doc(20)[2]) == copies
+    assert texts[301] == "\n".join(doc(40)) and (texts[201] == dict(rows)[201]) == copies
