@@ -25,11 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines of templates that recur and without lines repeated word for word (the document of the smallest id keeps its lines); n_chars follows the text.
+    Documents that are by and large copies of another keep the lines that they have from it, as the next stage judges copies whole.
 
     Null texts stay null; a document may end up with an empty text; rows repeated with id and text are one document and lose the same lines; of lines whose documents have null ids only, none
     goes. Very long texts are read whole. Other columns pass through, whatever their names; an empty table gives an empty table.
     """
-    out = linededup.line_dedup(docs)
+    out = linededup.line_dedup(docs, copies=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
