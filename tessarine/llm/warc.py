@@ -10,14 +10,16 @@ Reading. Gzip archives come through Spark's text reader, which inflates a file a
 parser puts the pieces together again, follows each record's Content-Length and emits rows in small batches. So no task holds more of an archive than a batch
 and its largest record, whatever the archive's size, and archives may lie wherever Spark can read. Archives that are not compressed (names without .gz) can't be read so, as Spark would split them anywhere;
 they are read as one value each and must fit into a task's memory. Payload digests are computed from the bytes read; a revisit has the digest and the length
-of its headers, as its payload is in the record it refers to.
+of its headers, as its payload is in the record it refers to. What is to become of an archive that can't be read to its end, the caller says: `broken="fail"` raises whatever it is (bytes that can't be read or inflated, a cut
+record, no record at all where one should begin), `broken="end"` salvages the records before that. As Spark doesn't tell a failing disk from a damaged file, a salvage is as short as the worse of both made it; it is meant for
+archives known to be damaged, and whoever needs the whole takes "fail", as the query does, which counts the records besides.
 
 Assembly. A response or revisit is a capture. Requests and metadata reach it through WARC-Concurrent-To, by naming it, by
 being named by it, or over one other record that does. One nested row per capture comes out; parts that are missing are null.
 
 Defined results: a null payload is empty; a null url is an empty target; of rows repeated with the largest key each is a
 response; a null key is smaller than any other; a very long payload is a record like any other; other records (warcinfo, resource) are not captures; a broken
-archive ends at its last whole record; empty tables give empty tables; columns other than key, url and html are never read, whatever their names.
+archive ends at its last whole record or is an error; empty tables give empty tables; columns other than key, url and html are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,22 +81,29 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
+class BrokenArchive(ValueError):
+    """An archive that can't be read to its end."""
+
+
 def _inflated(content: bytes) -> Iterator[bytes]:
     """An archive's bytes, inflated piece by piece if it is compressed; members may follow one another."""
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    inflate, at = zlib.decompressobj(31), 0
+    inflate, at, begun = zlib.decompressobj(31), 0, False
     while at < len(content):
         part = content[at : at + (1 << 18)]
         at += len(part)
         try:
             yield inflate.decompress(part)
-        except zlib.error:
-            return
+        except zlib.error as e:
+            raise BrokenArchive(f"can't be inflated: {e}") from e
+        begun = not inflate.eof
         if inflate.eof:
             at -= len(inflate.unused_data)
             inflate = zlib.decompressobj(31)
+    if begun:
+        raise BrokenArchive("ends within a compressed member")
 
 
 class _Stream:
@@ -132,22 +141,36 @@ def _headers(lines: list[bytes]) -> list[tuple[str, str]]:
     return [(a.strip().lower(), b.strip()) for a, _, b in pairs]
 
 
-def records_of(content: bytes | Iterator[bytes], payload: bool = True) -> Iterator[dict]:
-    """The records of an archive, given whole or as its inflated bytes in pieces."""
-    stream = _Stream(_inflated(content) if isinstance(content, bytes) else content)
+def records_of(content: bytes | Iterator[bytes], payload: bool = True, broken: str = "end") -> Iterator[dict]:
+    """The records of an archive, given whole or as its inflated bytes in pieces; where it breaks, it ends or fails."""
+    try:
+        yield from _parsed(_Stream(_inflated(content) if isinstance(content, bytes) else content), payload)
+    except BrokenArchive:
+        if broken != "end":
+            raise
+
+
+def _parsed(stream: _Stream, payload: bool) -> Iterator[dict]:
+    last = "the start"
     while True:
         while stream.ready[:2] == b"\r\n" or (len(stream.ready) < 2 and stream.more()):
             if stream.ready[:2] == b"\r\n":
                 stream.take(2)
         head = stream.until(b"\r\n\r\n")
         if head is None:
+            if stream.ready:
+                raise BrokenArchive(f"cut within the headers after {last}")
             return
         lines = head[:-4].split(b"\r\n")
         headers = _headers(lines[1:])
         own = dict(headers)
-        block = stream.take(int(own.get("content-length") or 0)) if lines[0].startswith(b"WARC/") else None
+        length = own.get("content-length", "")
+        if not lines[0].startswith(b"WARC/") or not (length.isascii() and length.isdigit()):
+            raise BrokenArchive(f"no record with a length after {last}")
+        block = stream.take(int(length))
         if block is None:
-            return
+            raise BrokenArchive(f"cut within the record after {last}")
+        last = own.get("warc-record-id", "a record")
         kind, fields, body = own.get("warc-type"), [], block
         if own.get("content-type", "").startswith("application/http"):
             http, _, body = block.partition(b"\r\n\r\n")
@@ -182,36 +205,46 @@ def _rows(records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[bytes]]:
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
     """Rows (file, piece) in the files' order, as one iterator of bytes a file with the blank lines put back between its pieces."""
     pieces = ((f, v) for batch in batches for f, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
-    for _, own in groupby(pieces, lambda x: x[0]):
+    for file, own in groupby(pieces, lambda x: x[0]):
         first = (next(own)[1].as_py(),)
-        yield chain(first, (b for _, v in own for b in (b"\r\n\r\n", v.as_py())))
+        yield file, chain(first, (b for _, v in own for b in (b"\r\n\r\n", v.as_py())))
+
+
+def _of(archive: str, records: Iterator[dict]) -> Iterator[dict]:
+    """The records, with the archive named where it breaks."""
+    try:
+        yield from records
+    except BrokenArchive as e:
+        raise BrokenArchive(f"{archive}: {e}") from e
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All records of the archives below path."""
+def read(spark: SparkSession, path: str, payload: bool = True, broken: str = "end") -> DataFrame:
+    """All records of the archives below path. Archives that can't be read to their end give the records up to there (broken="end") or make the query fail ("fail")."""
+    if broken not in ("end", "fail"):
+        raise ValueError(f"broken must be end or fail, not {broken}")
     arrow_limits(spark, 2000, 4)
-    source = spark.read.option("recursiveFileLookup", True)
-    pieces = source.option("pathGlobFilter", "*.gz").option("lineSep", "\r\n\r\n").option("ignoreCorruptFiles", True).text(path)
+    source = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", False)
+    pieces = source.option("pathGlobFilter", "*.gz").option("lineSep", "\r\n\r\n").option("ignoreCorruptFiles", broken == "end").text(path)
     pieces = pieces.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _files(batches):
-            yield from _rows(records_of(parts, payload))
+        for file, parts in _files(batches):
+            yield from _rows(_of(f"archive with xxhash64 of _metadata.file_path {file}", records_of(parts, payload, broken)))
             for _ in parts:  # what a broken record leaves
                 pass
 
     packed = pieces.mapInArrow(run, RECORD)
-    whole = source.option("pathGlobFilter", "*[!z]").format("binaryFile").load(path).select("content")
+    whole = source.option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz,z,gz}").format("binaryFile").load(path).select("path", "content")
     if whole.isEmpty():
         return packed
 
     def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                yield from _rows(records_of(content.as_py(), payload))
+            for file, content in zip(*batch.columns, strict=True):
+                yield from _rows(_of(f"archive {file}", records_of(content.as_py(), payload, broken)))
 
     return packed.union(whole.mapInArrow(run_whole, RECORD))
 
@@ -241,10 +274,13 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "archives")
-    write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    records = cut(read(spark, path, payload=False), "records")
+    path, pages = scratch(spark, "archives"), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    write(pages, path)
+    records = cut(read(spark, path, payload=False, broken="fail"), "records")
     arrow_limits(spark)
+    due, there = 3 * pages.count(), records.count()
+    if due != there:
+        raise BrokenArchive(f"{there} records came back of {due} written")
     found = assemble(records)
     note = lambda k: F.element_at("metadata.fields", F.lit(k)).cast("long")
     return found.select(

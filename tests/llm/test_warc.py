@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from tessarine.llm import warc
 from tests.llm.fixtures import with_clashes
 
@@ -117,3 +119,71 @@ def test_one_large_archive_in_bounded_memory(spark, tmp_path):
 
     rows = warc.read(spark, f"file://{tmp_path}").mapInArrow(sizes, "bytes bigint, rows bigint").collect()
     assert sum(r.rows for r in rows) == 300 and max(r.bytes for r in rows) < 16 << 20
+
+
+def _damaged(data, how):
+    """A .gz archive's bytes with one thing wrong."""
+    text = gzip.decompress(data)
+    if how == "cut":
+        return data[:-100]
+    if how == "flipped":
+        return data[: len(data) // 2] + bytes([data[len(data) // 2] ^ 255]) + data[len(data) // 2 + 1 :]
+    if how == "not gzip":
+        return text
+    if how == "record cut":
+        return gzip.compress(text[:-50])
+    if how == "headers cut":
+        return gzip.compress(text[: text.rindex(b"WARC/1.1") + 30])
+    if how == "no length":
+        return gzip.compress(text.replace(b"Content-Length: ", b"Content-Length: -", 1))
+    return None  # lost
+
+
+@pytest.mark.parametrize("how", ["cut", "flipped", "not gzip", "record cut", "headers cut", "no length", "lost", "checksum"])
+def test_a_damaged_archive_is_no_result(spark, tmp_path, monkeypatch, how):
+    """Whatever befalls an archive between writing and reading, the query fails; it never returns fewer pages."""
+    pages(spark).where("page_id is not null").write.parquet(f"{tmp_path}/pages.parquet")
+    write = warc.write
+
+    def hurt(df, path, **more):
+        from pathlib import Path
+
+        write(df, path, **more)
+        one = max(Path(path.removeprefix("file://")).glob("*.gz"), key=lambda f: f.stat().st_size)
+        data = one.read_bytes()
+        if how == "checksum":  # Hadoop's own sums beside the file tell
+            one.write_bytes(data[:-1] + bytes([data[-1] ^ 255]))
+            return
+        (one.parent / f".{one.name}.crc").unlink()
+        one.unlink()
+        if how != "lost":
+            one.write_bytes(_damaged(data, how))
+
+    monkeypatch.setattr(warc, "write", hurt)
+    monkeypatch.setattr(warc, "scratch", lambda spark, what: f"file://{tmp_path}/{what}")
+    with pytest.raises(Exception, match="BrokenArchive|FAILED_READ_FILE|came back"):
+        warc.op2_warc(spark, str(tmp_path)).count()
+
+
+def test_read_fails_or_salvages_as_asked(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: r\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    whole = {"a.warc.gz": gzip.compress(record * 3), "b.warc": record * 3, "c.warcz": gzip.compress(record) * 3, "d.warc.gz": gzip.compress(b"")}
+    for name, data in whole.items():
+        (tmp_path / name).write_bytes(data)
+    read = lambda **how: warc.read(spark, f"file://{tmp_path}", **how).count()
+    assert read(broken="fail") == read() == 9
+    for name, data in [("x.warc.gz", gzip.compress(record * 2 + record[:-10])), ("y.warc", record + b"garbage"), ("z.warc", gzip.compress(record) + gzip.compress(record)[:-9])]:
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="BrokenArchive"):
+            read(broken="fail")
+        assert read() > 9
+        (tmp_path / name).unlink()
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", True)
+    try:
+        (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record * 2)[:-9])
+        with pytest.raises(Exception, match="FAILED_READ_FILE"):
+            read(broken="fail")
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreCorruptFiles")
+    with pytest.raises(ValueError):
+        read(broken="maybe")
