@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -142,3 +143,19 @@ def test_fallback_patches(spark):
     assert 0 < len(out) <= 12
     assert all((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2 >= 120**2 for a in out for b in out if a.id != b.id)
     assert spatial.fallback_patches(px.withColumn("gray", F.lit(255)), 112, 112).count() == 0
+
+
+def test_fallback_scores_are_exact(spark):
+    """Scores in the very middle of two digits round up, whatever the order of the pixels."""
+    images = np.random.default_rng(5).integers(0, 256, (12000, 16, 16))
+    k = (images / 255.0 < 0.92).sum((1, 2))
+    edges = np.abs(np.diff(images, axis=1)).sum((1, 2)) + np.abs(np.diff(images, axis=2)).sum((1, 2))
+    exact = [Fraction(7 * int(a), 2560) + Fraction(3 * int(b), 20 * 255 * 240) for a, b in zip(k, edges, strict=True)]
+    ties = [i for i, v in enumerate(exact) if v * 10**6 % 1 == Fraction(1, 2)]
+    assert len(ties) > 10
+    rows = [(i, x, y, int(images[i, y, x])) for i in ties for x in range(16) for y in range(16)]
+    for order in (rows, rows[::-1]):
+        px = spark.createDataFrame(order, "image int, x int, y int, gray int").repartition(3)
+        out = spatial.fallback_patches(px, 16, 16, by=["image"]).select("image", "score", F.round("score", 6).alias("shown")).collect()
+        assert {r.image: r.score for r in out} == {i: float(exact[i]) for i in ties}
+        assert {r.image: r.shown for r in out} == {i: float((exact[i] * 10**6 + Fraction(1, 2)) / 10**6) for i in ties}
